@@ -1,0 +1,362 @@
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import fingerprints, langid, mixing, secret_scan, sentencepiece_codec, sharding, simhash
+from tidemark.llm._common import block_of, cut_points
+from tidemark.llm.queries import labelled
+
+
+# --- blocks of an order
+
+def test_blocks_follow_cut_points(spark):
+    df = spark.range(0, 20_000).withColumn("id", F.col("id") * 3)
+    cuts, least, nulls = cut_points(df, "id", 500)
+    assert least == 0 and not nulls and 400 < len(cuts) < 500
+    got = df.select("id", block_of(F.col("id"), cuts).alias("b")).collect()
+    assert [r.b for r in got] == np.searchsorted(cuts, [r.id for r in got], side="right").tolist()
+
+
+# --- 1: mixing
+
+def poisson_count(u: float, mean: float) -> int:
+    p = cdf = np.exp(-mean)
+    k = 0
+    while u > cdf and k < 10_000:
+        k += 1
+        p *= mean / k
+        cdf += p
+    return k
+
+
+def unit(seed, doc_id, chunk=1):
+    text = ":".join([str(seed), "" if doc_id is None else str(doc_id), str(chunk)])
+    return (int(hashlib.md5(text.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0}])
+def test_mix_matches_brute_force(odd, weights):
+    got = Counter((r.doc_id, r.text) for r in mixing.mix_sources(odd, weights, total=40).collect())
+    rows = odd.collect()
+    n = Counter(r.source for r in rows)
+    w = {s: (c**0.5 if weights is None else weights.get(s, 0.0)) for s, c in n.items()}
+    want = Counter()
+    for r in rows:
+        want[(r.doc_id, r.text)] += poisson_count(unit(42, r.doc_id), 40 * w[r.source] / sum(w.values()) / n[r.source])
+    assert got == Counter({k: v for k, v in want.items() if v})
+
+
+def test_mix_reaches_target_weights(many):
+    got = mixing.mix_sources(many, {"src0": 2.0, "src1": 1.0}, total=3000).groupBy("source").count().collect()
+    n = {r["source"]: r["count"] for r in got}
+    assert set(n) == {"src0", "src1"} and abs(n["src0"] / 2000 - 1) < 0.3 and abs(n["src1"] / 1000 - 1) < 0.3
+
+
+def test_mix_large_means_draw_in_chunks(spark, odd):
+    one = odd.filter("doc_id = 10")
+    n = mixing.mix_sources(one, total=5000).count()
+    assert abs(n - 5000) < 5 * 5000**0.5
+    want = sum(poisson_count(unit(42, 10, j), 5000 / 79) for j in range(1, 80))
+    assert n == want
+
+
+def test_mix_empty_and_columns(odd, none):
+    assert mixing.mix_sources(none).count() == 0
+    assert mixing.mix_sources(odd, copy_col=None).columns == odd.columns
+
+
+# --- 2: SentencePiece
+
+def test_codec_equals_library(many, odd):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL_PATH)
+    texts = {r.doc_id: r.text or "" for r in many.limit(300).collect()} | {10**6 + i: r.text or "" for i, r in enumerate(odd.collect())}
+    spark = many.sparkSession
+    rows = sentencepiece_codec.encode_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    for r in rows.collect():
+        assert r.ids == lib.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids)
+        assert r.round_trip == ("▁" not in texts[r.doc_id])
+    back = {r.doc_id: r.text for r in sentencepiece_codec.decode_ids(rows).collect()}
+    assert back == {k: v.replace("▁", " ") for k, v in texts.items()}
+
+
+def test_codec_unigram_is_the_best_path():
+    from itertools import combinations
+
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type = 1
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    scores = {"▁": -3.0, "▁a": -2.5, "a": -2.0, "b": -2.2, "ab": -3.1, "ba": -3.0, "aba": -5.5, "c": -4.0, "bc": -4.5}
+    proto.pieces.add(piece="<unk>", score=0, type=2)
+    for p, s in scores.items():
+        proto.pieces.add(piece=p, score=s, type=1)
+    codec = sentencepiece_codec.Codec(proto.SerializeToString())
+    for text in ("ab", "abab", "cabba", "aababcbcab", "abz", "zza"):
+        word = "▁" + text
+        best = -1e9
+        for n in range(len(word)):
+            for cut in combinations(range(1, len(word)), n):
+                parts = [word[a:b] for a, b in zip((0, *cut), (*cut, len(word)), strict=True)]
+                if all(p in scores or len(p) == 1 for p in parts):
+                    best = max(best, sum(scores.get(p, codec.unk_score) for p in parts))
+        ids, _ = codec.viterbi(np.array([[ord(c) for c in word]], dtype=np.uint32))
+        assert sum(codec.scores[i] if i >= 0 else codec.unk_score for i in ids.tolist()) == pytest.approx(best)
+
+
+def test_codec_forgets_and_empty(none, monkeypatch):
+    assert sentencepiece_codec.encode_texts(none).count() == 0
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model(sentencepiece_codec.MODEL_PATH))
+    first = [x.tolist() for x in codec.encode(["one two three"])]
+    monkeypatch.setattr(sentencepiece_codec, "WORDS", 0)
+    assert [x.tolist() for x in codec.encode(["one two three"])] == first
+
+
+# --- 3: sharding
+
+@pytest.mark.parametrize("which", ["odd", "many"])
+def test_shards_are_contiguous_and_balanced(request, which):
+    df = request.getfixturevalue(which)
+    shards = 40 if which == "many" else 3
+    got = sorted(sharding.shard_by_bytes(df, shards).collect(), key=lambda r: (r.shard, r.slot))
+    texts = sorted(((-1 if r.doc_id is None else r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 16) for r in df.collect()))
+    assert [(-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.size) for r in got] == texts
+    total, before = sum(t[2] for t in texts), 0
+    slots = Counter()
+    for r in got:
+        assert r.shard == min(shards - 1, (2 * before + r.size) * shards // (2 * total)) and r.slot == slots[r.shard] and r.law == "bytes" and r.grown_shard is None
+        slots[r.shard] += 1
+        before += r.size
+
+
+def test_shards_empty(none):
+    assert sharding.shard_by_bytes(none).count() == 0
+
+
+# --- 5: fingerprints
+
+def brute_edit(rows):
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or ""), r.doc_id) for r in rows)
+    texts = [k[2] for k, _ in rows]
+    for i, (_, doc_id) in enumerate(rows):
+        t, after = texts[i], texts[(i + 1) % len(texts)]
+        k = len(t) // 4
+        yield doc_id, len(t), hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_fingerprints_edit_and_agree(request, which):
+    df = request.getfixturevalue(which)
+    got = fingerprints.fingerprint_edits(df).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(brute_edit(df.collect()))
+    by_id = {r.doc_id: r for r in got}
+    texts = defaultdict(set)
+    for r in df.collect():
+        texts[r.text or ""].add(by_id[r.doc_id].fingerprint)
+    assert all(len(v) == 1 for v in texts.values())
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
+def test_fingerprints_by_brute_force(docs):
+    rows = docs.collect()
+    split = lambda t: {w for w in re.split(r"[^\w]+|_", t.lower()) if w}
+    df = Counter(w for r in rows for w in split(r.text))
+    band = {w for w, n in df.items() if max(2, len(rows) * 0.002) <= n <= max(2, len(rows) * 0.1)}
+    h = lambda w: int.from_bytes(xxhash.xxh64_digest(w.encode(), 42), "big")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def hash_all(hs):
+        seed = 42
+        for x in hs:
+            seed = xxhash.xxh64_intdigest((x & (2**64 - 1)).to_bytes(8, "little"), seed)
+        return f"{seed:016x}"[:8]
+
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    for r in rows[:60]:
+        hs = sorted(signed(h(w)) for w in split(r.text) & band)
+        cells = []
+        for k in range(8):
+            for d in (16, 64, 256):
+                own = [x for x in hs if (x >> 8 * k) & 255 & (d - 1) == 0]
+                cells.append(hash_all(own) if own else "-")
+        if any(c != "-" for c in cells):
+            assert got[r.doc_id].fingerprint == ".".join(cells)
+    near = [(r.near_edited, r.near_next) for r in got.values()]
+    assert sum(a > b for a, b in near) > 0.9 * len(near)
+
+
+def test_fingerprints_shuffled_lexicon_and_empty(docs, none, monkeypatch):
+    want = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_edits(docs).collect()}
+    monkeypatch.setattr(fingerprints, "BROADCAST_TERMS", 0)
+    assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_edits(docs).collect()} == want
+    assert fingerprints.fingerprint_edits(none).count() == 0
+
+
+# --- 6: secrets
+
+BASE = [("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12), ("access", re.compile("AKIA[A-Z0-9]+"), 18), ("hex", re.compile("[0-9a-f]+"), 16)]
+
+
+def brute_spans(text):
+    out = []
+    for k, (kind, rx, least) in enumerate(BASE):
+        out += [(m.start(), k, m.end(), kind) for m in rx.finditer(text) if len(m.group(1) if rx.groups else m.group()) >= least]
+    return ",".join(f"{kind}:{a}:{z}" for a, _, z, kind in sorted(out))
+
+
+@pytest.mark.parametrize("which", ["odd", "many"])
+def test_secrets_by_brute_force(request, which):
+    df = request.getfixturevalue(which)
+    got = Counter((r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in secret_scan.digest(secret_scan.scan_secrets(df)).collect())
+    want = Counter()
+    for r in df.collect():
+        s = brute_spans(r.text or "")
+        want[(r.doc_id, hashlib.sha256(s.encode()).hexdigest(), *(s.count(f"{k}:") for k in ("assign", "access", "hex")))] += 1
+    assert got == want
+
+
+def test_secrets_nested_and_more(spark):
+    texts = ["token=secret:abcdefghijklmnop", "TOKEN='AAAAAAAAAAAA' password:bbbbbbbbbbbb", "-----BEGIN RSA PRIVATE KEY----- x", "password==abcdefghijkl", "a" * 5 + "0" * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan_secrets(df)).collect()}
+    assert got[2] == "pem:0:31" and all(got[i] == brute_spans(texts[i]) for i in (0, 1, 3, 4))
+
+
+def test_ledger_scans_only_what_is_new(spark, odd, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    base = {"base-1": secret_scan.BASE_RULES}
+    first = odd.filter("doc_id < 6")
+    secret_scan.scan_secrets(first, ledger, base).collect()
+    n = spark.read.parquet(ledger).count()
+    assert n == len({r.text or "" for r in first.collect()})
+    secret_scan.scan_secrets(first, ledger, base).collect()
+    assert spark.read.parquet(ledger).count() == n
+    marked = {"base-1": [("assign", "never", 0, 1, None)], "more-1": secret_scan.MORE_RULES}
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan_secrets(odd, ledger, marked)).collect()}
+    assert got[5] == brute_spans(odd.filter("doc_id = 5").first().text) and got[6] == ""
+    rows = spark.read.parquet(ledger)
+    assert rows.count() == rows.select("blob", "rule_version").distinct().count() == 2 * len({r.text or "" for r in odd.collect()})
+
+
+def test_redact_keeps_rows_and_columns(odd, none):
+    got = secret_scan.redact(odd)
+    assert got.columns == odd.columns and got.count() == odd.count()
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[5].text == "[SECRET] and [SECRET] then [SECRET]" and rows[5].n_chars == len(rows[5].text)
+    assert rows[6].text == "🙂 token: short [SECRET]' 🙂 [SECRET]" and rows[3].text is None and rows[8].n_chars == 1
+    assert secret_scan.redact(none).count() == 0 and secret_scan.scan_secrets(none).count() == 0
+
+
+# --- 8: SimHash
+
+def brute_simhash(text):
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()) if w]
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [b" ".join(words)] * bool(words)
+    hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("which", ["odd", "many"])
+def test_simhash_by_brute_force(request, which):
+    df = request.getfixturevalue(which)
+    rows = [(r.doc_id, brute_simhash(r.text)) for r in df.collect()]
+    fps = sorted({f for _, f in rows})
+    roots = brute_components(fps, [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3])
+    least = {}
+    for d, f in rows:
+        if d is not None:
+            least[roots[f]] = min(d, least.get(roots[f], d))
+    want = Counter((d, f"{f:016x}", least.get(roots[f])) for d, f in rows)
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()) == want
+
+
+@pytest.mark.parametrize("limit", [8192, 20])
+def test_links_keep_dense_components(spark, limit):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    flip = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) if n else np.uint64(0) for n in rng.integers(0, 6, 900)], dtype=np.uint64)
+    fps = np.unique(np.concatenate([base[rng.integers(0, 12, 900)] ^ flip, rng.integers(0, 2**63, 200, dtype=np.uint64)]))
+    near = [(int(fps[i]), int(fps[j])) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3)]
+    want = brute_components([int(x) for x in fps], near)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    edges = simhash.link(df, limit)
+    assert edges.count() <= 30 * len(fps)
+    stars = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in simhash.components(edges).collect()}
+    groups = lambda m: {frozenset(k for k in m if m[k] == r) for r in m.values()}
+    got = {int(x): stars.get(int(x), int(x)) for x in fps}
+    assert groups(got) == groups(want)
+
+
+def test_dense_forest_equals_forest():
+    rng = np.random.default_rng(3)
+    free = simhash.FULL ^ simhash.FIRST[0] ^ simhash.masks(simhash.FULL ^ simhash.FIRST[0], 6, 3)[0]
+    bits = [i for i in range(64) if free >> i & 1]
+    fps = np.unique(np.array([sum(1 << bits[b] for b in rng.choice(len(bits), 6, replace=False)) for _ in range(700)], dtype=np.uint64))
+    nodes = [int(x) for x in fps]
+    assert brute_components(nodes, simhash.forest(fps)) == brute_components(nodes, simhash.dense_forest(fps, free)) == brute_components(nodes, [(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if (a ^ b).bit_count() <= 3])
+
+
+def test_drop_near_duplicates(odd, none):
+    got = simhash.drop_near_duplicates(odd)
+    assert got.columns == odd.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([1, 3, 5, 6, 8, 9, 10, 11, 12, None], key=str)
+    assert simhash.drop_near_duplicates(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+# --- 9: language
+
+def test_language_parse_by_brute_force():
+    texts = {"x": "abracadabra alakazam\0banana bandana", "y": "the cat sat on the mat"}
+    parser = langid.CrossParser(texts)
+    for probe in ("abracadabra on the band", "Zebra ÉÉ cat, sat. banana", "", "q q q q", "ab" * 700):
+        symbols, counts, _ = parser.read([probe])
+        for i, lang in enumerate(parser.langs):
+            own = [bytes(parser.read([p])[0].tolist()) for p in texts[lang].split("\0")]
+            n = 0
+            for a in range(0, len(symbols), langid.PIECE):
+                part, at = bytes(symbols[a : a + langid.PIECE].tolist()), 0
+                while at < len(part):
+                    end = at + 1
+                    while end <= len(part) and langid.UNKNOWN not in part[at:end] and any(part[at:end] in w for w in own):
+                        end += 1
+                    at, n = max(at + 1, end - 1), n + 1
+            assert parser.phrases(symbols, counts)[0, i] == n
+
+
+def test_language_accuracy_on_held_out(many):
+    held = {r.doc_id: r.lang for r in many.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    got = {r.doc_id: r for r in langid.identify(many, langid.learned(labelled(many))).collect()}
+    assert sum(got[d].lang_pred == lang for d, lang in held.items()) > 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_odd_rows(odd, none):
+    texts = langid.learned(labelled(odd))
+    got = [(r.doc_id, r.lang_pred) for r in langid.identify(odd, texts).collect()]
+    assert {d for d, lang in got if lang == "und"} == {3, 4, 7, 9} and len(got) == odd.count()
+    kept = langid.keep_identified(odd, texts)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 4
+    assert langid.learned(none) == {} and langid.identify(none, {}).count() == 0
+    assert {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}

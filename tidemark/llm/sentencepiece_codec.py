@@ -23,8 +23,6 @@ WORDS, TOGETHER = 250_000, 1 << 18
 PAIR_BITS, FILTER_BITS = 21, 20
 #: Characters of text that are encoded together.
 SLICE = 1 << 22
-#: Stand-ins in pairs of pieces: the start of a word, a character without a piece.
-START, UNKNOWN = 0, 1
 
 
 class Codec:
@@ -50,6 +48,8 @@ class Codec:
             raise ValueError("user-defined pieces and pieces with inner spaces aren't read")
         self.kind, self.unk = spec.model_type, kinds.index(2)
         self.pieces = [p.piece for p in proto.pieces]
+        #: Stand-ins in pairs of pieces: the start of a word, a character without a piece.
+        self.start, self.lone, self.span = len(self.pieces), len(self.pieces) + 1, len(self.pieces) + 2
         self.scores = np.array([p.score for p in proto.pieces])
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
         self.byte_ids = np.array([i for i, k in enumerate(kinds) if k == 6], dtype=np.int32) if spec.byte_fallback else None
@@ -122,9 +122,9 @@ class Codec:
         It does unless, at some time, the parts at their border make a piece that ranks above what either part joins next.
         The pieces' trees tell which parts stand there at one time; pieces that don't join in order of rank are simulated.
         """
-        a, b = divmod(key, len(self.pieces))
+        a, b = divmod(key, self.span)
         right = self.pieces[b]
-        if a in (START, UNKNOWN):
+        if a >= self.start:
             return self.merged(right) == [right]
         left = self.pieces[a]
         if left + right in self.rank:
@@ -144,7 +144,7 @@ class Codec:
         return True
 
     def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left * len(self.pieces) + right
+        keys = left * self.span + right
         slot = (keys.astype(np.uint64) * BASE >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
         ok = self.pair_ok[slot]
         new = np.flatnonzero(self.pair_keys[slot] != keys)
@@ -171,7 +171,7 @@ class Codec:
             pre[j + 1], chk[j + 1] = pre[j] * BASE + one[j], chk[j] * CHECK + one[j]
         score = np.full((n + 1, m), -np.inf, np.float32 if self.kind == BPE else np.float64)
         score[0] = 0
-        last, size = np.full((n + 1, m), START, np.int64), np.zeros((n + 1, m), np.int64)
+        last, size = np.full((n + 1, m), self.start, np.int64), np.zeros((n + 1, m), np.int64)
         for j in range(1, n + 1):
             for width in range(1, min(j, self.longest) + 1):
                 h = pre[j] - pre[j - width] * self.powers[width]
@@ -185,7 +185,7 @@ class Codec:
                     lone[hit] = False
                     lone = np.flatnonzero(lone)
                     score[j, lone] = score[j - 1, lone] + (self.unk_score if self.kind == UNIGRAM else 0.0)
-                    last[j, lone], size[j, lone] = UNKNOWN, 1
+                    last[j, lone], size[j, lone] = self.lone, 1
                 same = (self.checks[at] == chk[j, hit] - chk[j - width, hit] * self.powers2[width]) & (score[j - width, hit] > -np.inf)
                 hit, piece = hit[same], self.key_ids[at[same]]
                 if not hit.size:
@@ -206,7 +206,7 @@ class Codec:
             at[live] = here - size[here, live]
             live = live[at[live] > 0]
         row, flat = np.concatenate(rows[::-1]), np.concatenate(ids[::-1])
-        flat[flat == UNKNOWN] = -1
+        flat[flat == self.lone] = -1
         return flat[np.argsort(row, kind="stable")].astype(np.int32), np.bincount(row, minlength=m)
 
     def spell(self, word: str, pieces: list[int]) -> list[int]:
