@@ -33,6 +33,14 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return codes, scale, np.linalg.norm(coded, axis=1), np.linalg.norm(x - coded, axis=1)
 
 
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, summed from the first component to the last: the same bits on any machine."""
+    total = np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        total += x * y
+    return total
+
+
 def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of at least each query's k best candidates in the tile, ties at the end included.
 
@@ -57,7 +65,7 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
         else:
             least = np.full(len(low), -np.inf)
         i, j = np.nonzero((mid + miss >= least[:, None]) & (low > -np.inf))
-        exact = np.einsum("nd,nd->n", q[s][i], c[j])
+        exact = inner(q[s][i], c[j])
         # Of the survivors only each query's k best go on, with all that tie with the k-th.
         order = np.lexsort((cid[j], -exact, i))
         i, j, exact = i[order], j[order], exact[order]

@@ -65,4 +65,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_shard_by_bytes, op4_format_chats, op5_imatch, op6_scan_secrets, op7_nearest, op8_simhash, op9_language, op10_warc)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Means stay below 64 in these tables, so each count is one draw: the least k whose distribution function reaches the number.
+MIX_SQL = """WITH RECURSIVE n AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS w FROM documents GROUP BY 1),
+rates AS (SELECT source, (SELECT CAST(sum(n) AS DOUBLE) FROM n) * w / (SELECT sum(w) FROM n) / n AS mean FROM n),
+pmf AS (SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS cdf FROM rates UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM pmf WHERE k < mean + 12 * sqrt(mean) + 20),
+u AS (SELECT *, (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM documents),
+counted AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT count(*) FROM pmf WHERE pmf.source IS NOT DISTINCT FROM u.source AND pmf.cdf < u.u) AS c FROM u)
+SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, c + 1)) AS INTEGER) AS copy FROM counted"""
+
+#: CRC-32 of the UTF-8 bytes, four bits at a time by the table that its polynomial gives.
+SHARD_SQL = """WITH bits AS (SELECT range AS i, list_reduce([CAST(range AS BIGINT), 1, 2, 3, 4], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) AS t FROM range(16)),
+tab AS (SELECT list(t ORDER BY i) AS t FROM bits),
+d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size,
+  CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(encode(text)) * 2 + 1), lambda i: CAST('0x' || substr(hex(encode(text)), CAST(i + 1 - 2 * ((i + 1) % 2) AS INTEGER), 1) AS BIGINT))),
+    lambda c, x: xor(c >> 4, tab.t[CAST((xor(c, x) & 15) + 1 AS INTEGER)])), 4294967295) END AS text_crc32 FROM documents, tab),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, CAST(least(39, ((2 * upto - size) * 40) // (2 * total)) AS INTEGER) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+NEAREST_SQL = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs) WHERE r <= 20"""
+
+WARC_SQL = """WITH p AS (SELECT page_id, lower(coalesce(url, '')) AS url, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p WHERE octet_length(encode(html)) >= 100 GROUP BY 1),
+u AS (SELECT page_id, html, regexp_replace(regexp_replace(url, '^[a-z][a-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM p),
+h AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*'), ':(80|443)$', ''), '^www\\d*\\.', '') AS host, regexp_replace(bare, '^[^/?]*', '') AS rest FROM u)
+SELECT h.page_id, CAST(octet_length(encode(h.html)) AS BIGINT) AS payload_bytes, sha256(h.html) AS payload_digest, CASE WHEN f.first < h.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first < h.page_id THEN f.first END AS refers_to, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(h.page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM h LEFT JOIN f ON f.html = h.html"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op3_shard_by_bytes": SHARD_SQL, "op7_nearest": NEAREST_SQL, "op10_warc": WARC_SQL}
