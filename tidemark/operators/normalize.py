@@ -67,12 +67,13 @@ def ask(keys: DataFrame, provider: Provider, schema: str, workers: int = 20, bat
                     continue
                 yield pd.DataFrame([{"key": k, **v} for k, v in found.items() if k in set(own)], columns=names)
 
-    return keys.select("key").repartition(workers).sortWithinPartitions("key").mapInPandas(run, schema)
+    return keys.select("key").distinct().repartition(workers).sortWithinPartitions("key").mapInPandas(run, schema)
 
 
 def normalise_problems(problems: DataFrame, store: DataFrame, categories: list[str], provider: Provider) -> DataFrame:
     """New mapping rows (key, normalized, tags): the fuzzy layer first, the provider for what it leaves."""
-    missing = match_category(misses(problems, store), categories)
+    # Texts that differ by case alone are one key.
+    missing = match_category(misses(problems, store).groupBy("key").agg(F.min("problem_raw").alias("problem_raw")), categories)
     sure = missing.filter("category is not null").select("key", F.col("category").alias("normalized"), F.array("category").alias("tags"))
     asked = ask(missing.filter("category is null"), provider, "key string, normalized string, tags array<string>")
     tagged = asked.select("key", F.when(clean(F.col("normalized")) == "", F.col("key")).otherwise(F.col("normalized")).alias("normalized"), keep_known(F.col("tags"), categories, UNASSIGNED).alias("tags"))

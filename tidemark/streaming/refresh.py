@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
+    """With a watermark; times without a zone are read in the session's."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def first_of_each(stream: DataFrame, key: str, ts: str, late: str = "1 day") -> DataFrame:
     """State for a key is kept until the watermark passes it, so it is bounded by the lateness, not by the stream."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return timed(stream, ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def sessions(stream: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Rows of each key in sessions that a gap ends."""
-    return stream.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("s")).agg(F.count("*").alias("n")).select(key, "s.start", "s.end", "n")
+    return timed(stream, ts, late).groupBy(key, F.session_window(ts, gap).alias("s")).agg(F.count("*").alias("n")).select(key, "s.start", "s.end", "n")
 
 
 def daily_counts(stream: DataFrame, key: str, ts: str, late: str = "1 day") -> DataFrame:
-    return stream.withWatermark(ts, late).groupBy(key, F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("day"), "n")
+    return timed(stream, ts, late).groupBy(key, F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("day"), "n")
