@@ -22,7 +22,7 @@ WORDS, TOGETHER = 250_000, 1 << 18
 #: Bits of the slot of a remembered pair of pieces, and of the filter before the search among piece keys.
 PAIR_BITS, FILTER_BITS = 21, 20
 #: Characters of text that are encoded together.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 class Codec:
