@@ -325,6 +325,14 @@ def test_drop_near_duplicates(odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0 and simhash.near_duplicates(none).count() == 0
 
 
+def test_drop_near_duplicates_keeps_one_of_each_group(spark, many):
+    one, two, three = "a fox jumps over a lazy dog today", "rain falls on the plain in spain again", "no name but some words of its own"
+    df = spark.createDataFrame([(1, one), (2, one), (2, two), (2, two), (None, two), (None, three), (None, three), (-(2**63), None)], "doc_id long, text string")
+    assert Counter(tuple(r) for r in simhash.drop_near_duplicates(df).collect()) == Counter([(1, one), (2, two), (None, three), (-(2**63), None)])
+    least = {r.component_id for r in simhash.near_duplicates(many).collect()}
+    assert Counter(r.doc_id for r in simhash.drop_near_duplicates(many).collect()) == Counter(least)
+
+
 # --- 9: language
 
 def test_language_parse_by_brute_force():

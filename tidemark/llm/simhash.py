@@ -58,15 +58,15 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row."""
+    """doc_id, text_hash and fp (the fingerprint's 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1).to_pylist()).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fingerprints(part.column(2).to_pylist()).view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def masks(free: int, blocks: int, kept: int) -> list[int]:
@@ -270,28 +270,41 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut_lineage(edges)
 
 
+def first_by_fingerprint(rows: DataFrame, first: Column, limit: int = BUCKET) -> DataFrame:
+    """(fp, first) of every distinct fingerprint of ``rows``: the least ``first`` that links reach from it.
+
+    Equal fingerprints are folded before the search, so copies cost nothing there.
+    """
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min(first).alias("least")))
+    stars = components(link(distinct.select("fp"), limit))
+    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("first")))
+    return cut_lineage(rooted.join(named, "root").select("fp", "first"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
     component_id is the least doc_id that links reach. Null and wordless texts have fingerprint 0, which links as any
-    other. Rows without a doc_id link, but give no component_id; where no row of a component has one it is null. Equal
-    fingerprints are folded before the search, so copies cost nothing there. An empty table gives none.
+    other. Rows without a doc_id link, but give no component_id; where no row of a component has one it is null. An empty
+    table gives none.
     """
-    rows = cut_lineage(fingerprint_rows(docs, id_col, text_col))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = components(link(distinct.select("fp"), limit))
-    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_fp = cut_lineage(rooted.join(named, "root").select("fp", "component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = cut_lineage(fingerprint_rows(docs, id_col, text_col).select("doc_id", "fp"))
+    found = first_by_fingerprint(rows, F.col("doc_id"), limit)
+    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same columns; of each component only the row of its least id stays, and one row of a repeated id.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET) -> DataFrame:
+    """The same columns; of each component one row stays, that of the least id, and of the least text hash in it.
 
-    Rows without an id are no part of it and stay.
+    Rows are told apart by id and text: an id that comes with several texts stays once for each component in which it is
+    the least. Rows without an id come last, so one of them stays only where no row of its component has an id.
     """
-    gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("tm_gone")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(cut_lineage(gone), named[id_col] == F.col("tm_gone"), "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = cut_lineage(fingerprint_rows(docs, id_col, text_col))
+    own = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("text_hash"))
+    # An id that is missing joins as the least long; together with the text hash no other row means the same.
+    joinable = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)).cast("long"))
+    kept = rows.join(first_by_fingerprint(rows, own, limit), "fp").filter(own == F.col("first"))
+    keys = cut_lineage(kept.select(joinable(F.col("doc_id")).alias("tm_id"), F.col("text_hash").alias("tm_text")).distinct())
+    keyed = docs.withColumns({"tm_id": joinable(F.col(id_col)), "tm_text": F.xxhash64(text_col)})
+    return keyed.join(keys, ["tm_id", "tm_text"], "left_semi").dropDuplicates(["tm_id", "tm_text"]).select(*docs.columns)
