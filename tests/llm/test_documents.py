@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, langid, mixing, secret_scan, sentencepiece_codec, sharding, simhash
+import corpus_pipeline
+from tidemark.llm import fingerprints, langid, mixing, secret_scan, sentencepiece_codec, sharding, similar, simhash
 from tidemark.llm._common import block_of, cut_points
 from tidemark.llm.queries import labelled
 
@@ -333,6 +334,48 @@ def test_drop_near_duplicates_keeps_one_of_each_group(spark, many):
     assert Counter(r.doc_id for r in simhash.drop_near_duplicates(many).collect()) == Counter(least)
 
 
+# --- the pipeline's near-duplicates
+
+def brute_shingles(text):
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()) if w]
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_similar(rows):
+    """Ids that stay, and how many pairs of different sets are linked."""
+    least = {}
+    for d, t in rows:
+        least[s] = min(d, least.get(s := brute_shingles(t), d))
+    sets, holds = sorted(least, key=least.get), defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holds[x].append(i)
+    common = Counter((i, j) for at in holds.values() for k, j in enumerate(at) for i in at[:k])
+    pairs = [(i, j) for (i, j), n in common.items() if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n)]
+    roots = brute_components(range(len(sets)), pairs)
+    return sorted(least[sets[r]] for r in set(roots.values())), len(pairs)
+
+
+def test_pipeline_drops_five_word_near_copies(spark, many):
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(200)]
+    # A group in which most pairs are under 0.8 and many links lead over others, and pairs just at and under the bound.
+    rows = [(i, " ".join(f"x{rng.integers(10**6)}" if k in at else w for k, w in enumerate(base))) for i, at in enumerate(set(rng.integers(0, 200, rng.integers(0, 9)).tolist()) for _ in range(150))]
+    rows += [(1000 + n, " ".join(f"v{i}" for i in range(n, 94 + n))) for n in (0, 10)] + [(2000 + n, " ".join(f"u{i}" for i in range(n, 93 + n))) for n in (0, 10)]
+    want, n = brute_similar(rows)
+    assert 150 < n < 150 * 149 // 2 and {1000, 2000, 2010} <= set(want) and 1010 not in want
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == want
+    want, n = brute_similar([(r.doc_id, r.text) for r in many.collect()])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, many, "").collect()) == want
+
+
+def test_pipeline_near_copies_odd(odd, none):
+    got = similar.drop_similar(odd)
+    assert got.columns == odd.columns and sorted((r.doc_id for r in got.collect()), key=str) == sorted([1, 3, 5, 6, 8, 9, 10, 11, 12, None], key=str)
+    assert similar.drop_similar(none).count() == 0
+
+
 # --- 9: language
 
 def test_language_parse_by_brute_force():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -270,18 +270,23 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut_lineage(edges)
 
 
-def first_by_fingerprint(rows: DataFrame, first: Column, limit: int = BUCKET) -> DataFrame:
-    """(fp, first) of every distinct fingerprint of ``rows``: the least ``first`` that links reach from it.
+def firsts(rows: DataFrame, first: Column, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(fp, first) of every distinct ``fp`` of ``rows``: the least ``first`` that the edges between them reach from it.
 
     Equal fingerprints are folded before the search, so copies cost nothing there.
     """
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min(first).alias("least")))
-    stars = components(link(distinct.select("fp"), limit))
+    stars = components(edges_of(distinct.select("fp")))
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("first")))
     return cut_lineage(rooted.join(named, "root").select("fp", "first"))
 
 
+def first_by_fingerprint(rows: DataFrame, first: Column, limit: int = BUCKET) -> DataFrame:
+    """(fp, first) as ``firsts`` gives it, over links of at most three bits."""
+    return firsts(rows, first, lambda fps: link(fps, limit))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
@@ -301,10 +306,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the least. Rows without an id come last, so one of them stays only where no row of its component has an id.
     """
     rows = cut_lineage(fingerprint_rows(docs, id_col, text_col))
+    return keep_first(docs, rows, lambda fps: link(fps, limit), id_col, text_col)
+
+
+def row_key(c: Column) -> Column:
+    """An id that is missing joins as the least long; together with the text hash no other row means the same."""
+    return F.coalesce(c.cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, edges_of: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are the first of a component, told apart by doc_id and text_hash of ``rows``."""
     own = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("text_hash"))
-    # An id that is missing joins as the least long; together with the text hash no other row means the same.
-    joinable = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)).cast("long"))
-    kept = rows.join(first_by_fingerprint(rows, own, limit), "fp").filter(own == F.col("first"))
-    keys = cut_lineage(kept.select(joinable(F.col("doc_id")).alias("tm_id"), F.col("text_hash").alias("tm_text")).distinct())
-    keyed = docs.withColumns({"tm_id": joinable(F.col(id_col)), "tm_text": F.xxhash64(text_col)})
+    kept = rows.join(firsts(rows, own, edges_of), "fp").filter(own == F.col("first"))
+    keys = cut_lineage(kept.select(row_key(F.col("doc_id")).alias("tm_id"), F.col("text_hash").alias("tm_text")).distinct())
+    keyed = docs.withColumns({"tm_id": row_key(F.col(id_col)), "tm_text": F.xxhash64(text_col)})
     return keyed.join(keys, ["tm_id", "tm_text"], "left_semi").dropDuplicates(["tm_id", "tm_text"]).select(*docs.columns)
