@@ -201,6 +201,17 @@ def test_fingerprints_shuffled_lexicon_and_empty(docs, none, monkeypatch):
     assert fingerprints.fingerprint_edits(none).count() == 0
 
 
+def test_fingerprints_of_a_text_with_many_copies(spark, docs):
+    texts = sorted({r.text for r in docs.collect()})
+    hot = max(texts, key=lambda t: (len(t) < 4000, len(t)))
+    copies = spark.createDataFrame([(10**6 + i, hot) for i in range(len(texts))], "doc_id long, text string")
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = lambda df: {r.h for r in fingerprints.lexicon(df, fold=True)[0].collect()}
+    assert words(once) == words(once.unionByName(copies)) and fingerprints.distinct_texts(once.unionByName(copies), "text")[1] == len(texts)
+    got = fingerprints.fingerprint_edits(once.unionByName(copies), fold=True).filter(f"doc_id >= {10**6}").collect()
+    assert len(got) == len(texts) and sum(r.near_edited > 0 for r in got) > 0.9 * len(got)
+
+
 # --- 6: secrets
 
 BASE = [("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12), ("access", re.compile("AKIA[A-Z0-9]+"), 18), ("hex", re.compile("[0-9a-f]+"), 16)]

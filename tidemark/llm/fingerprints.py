@@ -22,13 +22,28 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
-def lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.1, text_col: str = "text") -> tuple[DataFrame, int]:
+def distinct_texts(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """One row of each text, and how many they are. Only texts that repeat are shuffled, folded before that in each task."""
+    rows = docs.select(F.xxhash64(text_col).alias("h"), text_col)
+    held = rows.groupBy("h").agg(F.count("*").alias("c"))
+    repeated = cut_lineage(held.filter("c > 1").select("h", "c"))
+    k, copies = repeated.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    known = repeated.select("h")
+    if k <= BROADCAST_TERMS:
+        known = F.broadcast(known)
+    once = rows.join(known, "h", "left_anti").select(text_col)
+    return once.unionByName(rows.join(known, "h", "left_semi").dropDuplicates(["h"]).select(text_col)), docs.count() - copies + k
+
+
+def lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.1, text_col: str = "text", fold: bool = False) -> tuple[DataFrame, int]:
     """Hashes of the terms that between ``low`` and ``high`` of all documents hold (two at least), and how many they are.
 
+    With ``fold`` copies of a text count once, so that they neither push its terms out of the band nor lift them into it.
+
     The band is one of inverse document frequency, from -ln(high) to -ln(low). A document of d distinct terms on average
     allows d / low terms in it however many documents there are, which bounds the lexicon.
     """
-    n = docs.count()
+    docs, n = distinct_texts(docs, text_col) if fold else (docs, docs.count())
     held = docs.select(F.explode(terms(F.col(text_col))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     found = cut_lineage(held.filter((F.col("df") >= max(2, n * low)) & (F.col("df") <= max(2, n * high))).select(F.xxhash64("t").alias("h")).distinct())
     return found, found.count()
@@ -113,13 +128,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return seen.select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"), at(F.col("block"), F.col("nth")).alias("at"), after.alias("next_at"))
 
 
-def fingerprint_edits(docs: DataFrame, low: float = 0.002, high: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, low: float = 0.002, high: float = 0.1, id_col: str = "doc_id", text_col: str = "text", fold: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text ends, for its last quarter, in the start of the next document in id order. Null texts are empty ones;
     a single row is its own next. Equal texts have equal fingerprints. An empty table gives none.
     """
-    words, n_words = lexicon(docs, low, high, text_col)
+    words, n_words = lexicon(docs, low, high, text_col, fold)
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     pairs = with_next(docs, id_col, text_col).withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), quarter)))

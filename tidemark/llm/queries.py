@@ -28,7 +28,7 @@ def op4_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"), fold=True)
 
 
 def op6_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
