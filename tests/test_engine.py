@@ -294,3 +294,9 @@ def test_streams(spark, sf):
         q.awaitTermination(120)
     assert spark.table("firsts").count() == events.select("event_id").distinct().count()
     assert spark.table("days").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_sheets_and_runs_cover_whole_tables(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    assert queries.grid(spark, sf).filter("row_idx >= 5").count() == orders.count() > 400
+    assert queries.ingest_all_sheets(spark, sf).count() == orders.filter("o_orderkey % 3 < 2").count()

@@ -304,9 +304,9 @@ def qualifier_unify(spark, sf_dir):
     return normalize.unify_qualifiers(read(spark, sf_dir, "customer").select(k.cast("string").alias("key"), own.alias("client_qualifier")))
 
 
-def grid(spark, sf_dir):
+def grid(spark, sf_dir, where="true"):
     """Two sheets with headers (the second below a title, one word misspelt) and one without, over the orders."""
-    o = read(spark, sf_dir, "orders").filter("o_orderkey < 400")
+    o = read(spark, sf_dir, "orders").filter(where)
     k = F.col("o_orderkey")
     cells = F.array(k.cast("string"), F.date_format("o_orderdate", "dd.MM.yyyy HH:mm"), F.concat(F.lit(" client "), F.col("o_custkey").cast("string")), F.lit(""))
     body = o.select(F.lit("book").alias("_table_name"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("_sheet_name"), (k + 5).cast("int").alias("row_idx"), cells.alias("cells"))
@@ -317,6 +317,12 @@ def grid(spark, sf_dir):
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date, 'client ' || o_custkey AS client_raw, 's' || (o_orderkey % 3) AS _sheet_name FROM orders WHERE o_orderkey < 400 AND o_orderkey % 3 = 0
 UNION ALL SELECT NULL, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'client ' || o_custkey, 's1' FROM orders WHERE o_orderkey < 400 AND o_orderkey % 3 = 1""")
 def ingest_sheets(spark, sf_dir):
+    return ingest.tickets(grid(spark, sf_dir, "o_orderkey < 400")).select("ticket_id", "date", "client_raw", "_sheet_name")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date, 'client ' || o_custkey AS client_raw, 's' || (o_orderkey % 3) AS _sheet_name FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT NULL, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'client ' || o_custkey, 's1' FROM orders WHERE o_orderkey % 3 = 1""")
+def ingest_all_sheets(spark, sf_dir):
     return ingest.tickets(grid(spark, sf_dir)).select("ticket_id", "date", "client_raw", "_sheet_name")
 
 
