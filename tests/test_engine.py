@@ -300,3 +300,10 @@ def test_sheets_and_runs_cover_whole_tables(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     assert queries.grid(spark, sf).filter("row_idx >= 5").count() == orders.count() > 400
     assert queries.ingest_all_sheets(spark, sf).count() == orders.filter("o_orderkey % 3 < 2").count()
+
+
+def test_each_user_has_a_run(spark):
+    rows = [(u, f"2024-01-{d:02d} 0{u}:00:00") for u, days in ((1, (1, 2, 5, 6, 7)), (2, (1, 2, 3)), (3, (1, 3))) for d in days]
+    df = spark.createDataFrame(rows, "user_id long, t string").select("user_id", F.col("t").cast("timestamp_ntz").alias("ts"))
+    got = dates.filter_by_date(df, consecutive_days=3, ts="ts", by=["user_id"])
+    assert sorted((r.user_id, r.ts.day) for r in got.collect()) == [(1, 5), (1, 6), (1, 7), (2, 1), (2, 2), (2, 3)]

@@ -43,19 +43,21 @@ def longest_runs(df: DataFrame, ts: str, least: int, by: list[str] | None = None
     return runs.filter(F.col("days") >= least).groupBy(*by).agg(best).select(*by, "r.*")
 
 
-def filter_by_date(df: DataFrame, date_from: str | None = None, date_to: str | None = None, last_n_days: int | None = None, consecutive_days: int | None = None, as_of: str | None = None, ts: str = "event_ts") -> DataFrame:
+def filter_by_date(df: DataFrame, date_from: str | None = None, date_to: str | None = None, last_n_days: int | None = None, consecutive_days: int | None = None, as_of: str | None = None, ts: str = "event_ts", by: list[str] | None = None) -> DataFrame:
     """One window: the longest run of active days, else the last days, else a range that needs both ends, else none.
 
     Rows without a date go in any case; a table without the column stays as it is. A run keeps its rows up to and with the
-    midnight after its last day.
+    midnight after its last day. With ``by`` each of its values has its own run.
     """
     if ts not in df.columns:
         return df
     df = df.filter(F.col(ts).isNotNull())
     if consecutive_days:
-        run = longest_runs(df, ts, consecutive_days)
-        # One row at most.
+        run = longest_runs(df, ts, consecutive_days, by)
         ends = (F.col(ts) >= F.col("first_day").cast("timestamp_ntz")) & (F.col(ts) <= F.date_add("last_day", 1).cast("timestamp_ntz"))
+        if by:
+            return df.join(run, by).filter(ends).select(*df.columns)
+        # One row at most.
         return df.join(F.broadcast(run), ends, "left_semi")
     if last_n_days:
         return df.filter(last_days(F.col(ts), last_n_days, as_of) if as_of else F.col(ts) >= F.localtimestamp() - F.make_dt_interval(F.lit(last_n_days)))

@@ -150,6 +150,11 @@ def rows_of_longest_run(spark, sf_dir):
     return dates.filter_by_date(own, consecutive_days=5, ts="ts").select("event_id", "ts", "user_id")
 
 
+@query(f"WITH {ISLANDS} SELECT event_id, ts, e.user_id FROM events e JOIN best b ON b.user_id = e.user_id WHERE r = 1 AND ts >= first_day AND ts <= CAST(last_day + 1 AS TIMESTAMP)")
+def rows_of_longest_runs(spark, sf_dir):
+    return dates.filter_by_date(read(spark, sf_dir, "events"), consecutive_days=5, ts="ts", by=["user_id"]).select("event_id", "ts", "user_id")
+
+
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(tion|schaft)', 'i')")
 def keyword_or(spark, sf_dir):
     return read(spark, sf_dir, "documents").filter(tools.any_word(F.col("text"), "tion schaft")).select("doc_id")
