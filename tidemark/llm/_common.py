@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +17,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share, as the session names it; only a local session gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it: for columns that live only inside an operator."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with ``value`` worked out once for a row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def distinct_by(rows: DataFrame, key: str, broadcast_keys: int) -> DataFrame:
+    """One row of each value of ``key``. Only rows whose key repeats are shuffled, folded before that in each task.
+
+    Keys that repeat are broadcast up to ``broadcast_keys`` and joined by a shuffle beyond.
+    """
+    repeated = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("c")).filter("c > 1").select(key))
+    n = repeated.count()
+    if not n:
+        return rows
+    known = F.broadcast(repeated) if n <= broadcast_keys else repeated
+    return rows.join(known, key, "left_anti").unionByName(rows.join(known, key, "left_semi").dropDuplicates([key]))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lost executors don't lose it, and later plans start from its files."""
     shared_dir(df.sparkSession)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import block_of, cut_lineage, cut_points, shuffle_partitions
+from tidemark.llm._common import bind, block_of, cut_lineage, cut_points, shuffle_partitions
 
 #: A subset draws its terms by one byte of their hash; within it, three densities: every 16th, 64th and 256th term.
 SUBSETS, DENSITIES = 8, (16, 64, 256)
@@ -58,11 +58,6 @@ def drawn(k: int, density: int) -> Callable[[Column], Column]:
     return lambda h: field(h, k).bitwiseAND(F.lit(density - 1)) == 0
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with ``value`` worked out once for a row, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def cells(hashes: Column) -> Column:
     """For each subset and density the hash of the sorted terms that fall into it."""
     none = F.xxhash64(F.array().cast("array<bigint>"))
