@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +12,11 @@ from pyspark.sql import functions as F
 #: The public model file; a parameter of everything below.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Bases of the two rolling hashes of code points.
 BASE, CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UNIGRAM, BPE = 1, 2
-#: Words that one worker remembers, and characters that advance together.
-WORDS, TOGETHER = 250_000, 1 << 18
+#: Words that one worker remembers, some 50 bytes each, and characters that advance together.
+WORDS, TOGETHER = 1_000_000, 1 << 15
 #: Bits of the slot of a remembered pair of pieces, and of the filter before the search among piece keys.
 PAIR_BITS, FILTER_BITS = 21, 20
 #: Characters of text that are encoded together.
@@ -33,6 +31,9 @@ class Codec:
     model a path's score is its sum of piece scores. In a BPE model the last piece of a prefix is the one piece that stands
     next to the last piece of what is before it when BPE encodes just these two; so a step scores 0 if its two pieces are
     such neighbours and minus infinity if not, and the only finite path is the BPE encoding. Neighbours are remembered.
+
+    A word is a run of characters that pieces may join: it ends before a space, and between two characters that stand
+    side by side in no piece, which no path can cross. Words are told apart by two 64-bit hashes and remembered.
     """
 
     def __init__(self, model: bytes):
@@ -70,6 +71,16 @@ class Codec:
         self.present = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.present[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         self.powers, self.powers2 = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, b, np.uint64)])) for b in (BASE, CHECK))
+        #: Number of each character that pieces hold (0: none does), and which may stand side by side in a word.
+        alphabet = sorted({c for p in self.ids for c in p})
+        self.letter = np.zeros(0x110000, dtype=np.int32)
+        self.letter[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.joins = np.zeros((len(alphabet) + 1, len(alphabet) + 1), dtype=bool)
+        for p in self.ids:
+            own = self.letter[[ord(c) for c in p]]
+            self.joins[own[:-1], own[1:]] = True
+        # Without bytes a run of unknown characters is one id, so it stays together.
+        self.joins[0, 0] = self.byte_ids is None
         self.trees: dict[str, tuple[str, str, bool]] = {}
         self.forget()
 
@@ -81,7 +92,8 @@ class Codec:
         return h
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
+        """No word is remembered: sorted hashes of the words, their second hashes, and the number under which each is kept."""
+        self.known, self.known2, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def best(self, parts: list[str]) -> int:
@@ -162,7 +174,8 @@ class Codec:
     def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of words of one length, given as rows of code points, one after the other; and how many each has.
 
-        -1 marks a character without a piece.
+        -1 marks a character without a piece. At a position all lengths of the last piece are looked up at once, so that
+        a long word alone costs few calls a character.
         """
         m, n = words.shape
         one = np.ascontiguousarray(words.T).astype(np.uint64) + np.uint64(1)
@@ -171,32 +184,36 @@ class Codec:
             pre[j + 1], chk[j + 1] = pre[j] * BASE + one[j], chk[j] * CHECK + one[j]
         score = np.full((n + 1, m), -np.inf, np.float32 if self.kind == BPE else np.float64)
         score[0] = 0
-        last, size = np.full((n + 1, m), self.start, np.int64), np.zeros((n + 1, m), np.int64)
+        last, size = np.full((n + 1, m), self.start, np.int32), np.zeros((n + 1, m), np.int32)
+        powers, shift, unknown = self.powers[1:, None], np.uint64(64 - FILTER_BITS), self.unk_score if self.kind == UNIGRAM else 0.0
         for j in range(1, n + 1):
-            for width in range(1, min(j, self.longest) + 1):
-                h = pre[j] - pre[j - width] * self.powers[width]
-                hit = np.flatnonzero(self.present[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                at = np.searchsorted(self.keys, h[hit])
-                at[at == len(self.keys)] = 0
-                real = self.keys[at] == h[hit]
-                hit, at = hit[real], at[real]
-                if width == 1 and hit.size < m:
-                    lone = np.ones(m, bool)
-                    lone[hit] = False
-                    lone = np.flatnonzero(lone)
-                    score[j, lone] = score[j - 1, lone] + (self.unk_score if self.kind == UNIGRAM else 0.0)
-                    last[j, lone], size[j, lone] = self.lone, 1
-                same = (self.checks[at] == chk[j, hit] - chk[j - width, hit] * self.powers2[width]) & (score[j - width, hit] > -np.inf)
-                hit, piece = hit[same], self.key_ids[at[same]]
-                if not hit.size:
-                    continue
-                if self.kind == UNIGRAM:
-                    step = score[j - width, hit] + self.scores[piece]
-                else:
-                    step = np.where(self.may_follow(last[j - width, hit], piece), np.float32(0), np.float32(-np.inf))
-                better = step > score[j, hit]
-                won = hit[better]
-                score[j, won], last[j, won], size[j, won] = step[better], piece[better], width
+            low = max(0, j - self.longest)
+            # Row w is of the substrings of w + 1 characters that end here.
+            h = pre[j] - pre[low:j][::-1] * powers[: j - low]
+            width, word = np.nonzero(self.present[(h >> shift).astype(np.int64)])
+            own = h[width, word]
+            at = np.searchsorted(self.keys, own)
+            at[at == len(self.keys)] = 0
+            real = self.keys[at] == own
+            width, word, at = width[real] + 1, word[real], at[real]
+            real = self.checks[at] == chk[j, word] - chk[j - width, word] * self.powers2[width]
+            width, word, piece = width[real], word[real], self.key_ids[at[real]]
+            single = word[width == 1]
+            if single.size < m:
+                lone = np.ones(m, bool)
+                lone[single] = False
+                score[j, lone], last[j, lone], size[j, lone] = score[j - 1, lone] + unknown, self.lone, 1
+            if self.kind == UNIGRAM:
+                step = score[j - width, word] + self.scores[piece]
+                # The best of a word's steps is written last.
+                order = np.argsort(step, kind="stable")
+                order = order[step[order] > score[j, word[order]]]
+            else:
+                step = score[j - width, word]
+                order = np.flatnonzero(step == 0)
+                order = order[self.may_follow(last[j - width[order], word[order]].astype(np.int64), piece[order])]
+            won = word[order]
+            score[j, won], last[j, won], size[j, won] = step[order], piece[order], width[order]
         at, live = np.full(m, n), np.arange(m)
         rows, ids = [], []
         while live.size:
@@ -204,6 +221,8 @@ class Codec:
             rows.append(live)
             ids.append(last[here, live])
             at[live] = here - size[here, live]
+            if (at[live] == here).any():
+                raise ValueError("a word has no path")
             live = live[at[live] > 0]
         row, flat = np.concatenate(rows[::-1]), np.concatenate(ids[::-1])
         flat[flat == self.lone] = -1
@@ -224,50 +243,79 @@ class Codec:
             at += 1
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that aren't remembered yet, those of equal length together."""
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        flats, counts, at = [self.flat], [self.sizes], len(self.starts)
-        for n, group in by_length.items():
+    def learn(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Encode the words points[s : s + n], those of equal length together; the number under which each is kept."""
+        order = np.argsort(sizes, kind="stable")
+        lengths, firsts = np.unique(sizes[order], return_index=True)
+        flats, counts = [self.flat], [self.sizes]
+        for n, a, z in zip(lengths.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(order)], strict=True):
             many = max(1, TOGETHER // n)
-            for a in range(0, len(group), many):
-                part = group[a : a + many]
-                flat, sizes = self.viterbi(np.frombuffer("".join(part).encode("utf-32-le"), dtype=np.uint32).reshape(len(part), n))
-                odd = np.flatnonzero(np.add.reduceat(flat < 0, np.cumsum(sizes) - sizes))
+            for at in range(a, z, many):
+                words = points[starts[order[at : min(z, at + many)], None] + np.arange(n)]
+                flat, held = self.viterbi(words)
+                ends = np.cumsum(held)
+                odd = np.flatnonzero(np.add.reduceat(flat < 0, ends - held))
                 if odd.size:
-                    ends = np.cumsum(sizes)
                     pieces, lone = [], 0
                     for w in odd.tolist():
-                        begin = int(ends[w] - sizes[w])
-                        spelt = np.array(self.spell(part[w], flat[begin : ends[w]].tolist()), dtype=np.int32)
+                        begin = int(ends[w] - held[w])
+                        spelt = np.array(self.spell("".join(map(chr, words[w].tolist())), flat[begin : ends[w]].tolist()), dtype=np.int32)
                         pieces += [flat[lone:begin], spelt]
                         lone = int(ends[w])
-                    sizes[odd] = [len(x) for x in pieces[1::2]]
+                    held[odd] = [len(x) for x in pieces[1::2]]
                     flat = np.concatenate([*pieces, flat[lone:]])
                 flats.append(flat)
-                counts.append(sizes)
-                self.words.update(zip(part, range(at, at + len(part)), strict=True))
-                at += len(part)
+                counts.append(held)
+        numbers = np.empty(len(order), dtype=np.int64)
+        numbers[order] = len(self.starts) + np.arange(len(order))
         self.flat, self.sizes = np.concatenate(flats), np.concatenate(counts)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        return numbers
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of all texts, spaces replaced and one in front of each text; where words start; words of each text."""
+        points = np.frombuffer("".join(SPACE + t.replace(" ", SPACE) for t in texts if t).encode("utf-32-le"), dtype=np.uint32)
+        lengths = np.fromiter((len(t) + 1 if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+        ends = np.cumsum(lengths)
+        letter, space = self.letter[points], points == ord(SPACE)
+        cut = np.ones(len(points), dtype=bool)
+        cut[1:] = ~self.joins[letter[:-1], letter[1:]] & ~(space[:-1] & space[1:]) | space[1:] & ~space[:-1]
+        cut[(ends - lengths)[lengths > 0]] = True
+        before = np.concatenate([[0], np.cumsum(cut)])
+        return points, np.flatnonzero(cut), before[ends] - before[ends - lengths]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if len(self.words) > WORDS:
+        if len(self.sizes) > WORDS:
             self.forget()
-        split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {w for ws in split for w in ws if w not in self.words}
-        if new:
-            self.learn(list(new))
-        get = self.words.__getitem__
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        word = np.fromiter((get(w) for ws in split for w in ws), dtype=np.int64, count=int(counts.sum()))
-        ids = gather(self.flat, self.starts[word], self.sizes[word])
-        ends = np.concatenate([[0], np.cumsum(self.sizes[word])])
+        points, starts, counts = self.words(texts)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        ends = np.append(starts[1:], len(points))
+        hashes, checks = (word_hashes(points, starts, ends, base) for base in (BASE, CHECK))
+        once, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if (checks[first][which] != checks).any():  # two words of one hash: as good as never, and then told apart by both
+            _, first, which = np.unique(np.rec.fromarrays([hashes, checks]), return_index=True, return_inverse=True)
+            once = hashes[first]
+        twice = checks[first]
+        at = np.minimum(np.searchsorted(self.known, once), max(0, len(self.known) - 1))
+        held = (self.known[at] == once) & (self.known2[at] == twice) if len(self.known) else np.zeros(len(once), bool)
+        word = np.zeros(len(once), dtype=np.int64)
+        word[held] = self.number[at[held]]
+        new = np.flatnonzero(~held)
+        if new.size:
+            word[new] = self.learn(points, starts[first[new]], (ends - starts)[first[new]])
+            if len(self.known):
+                new = new[self.known[at[new]] != once[new]]
+            new = new[np.unique(once[new], return_index=True)[1]]
+            place = np.searchsorted(self.known, once[new])
+            self.known, self.known2, self.number = (np.insert(old, place, add) for old, add in ((self.known, once[new]), (self.known2, twice[new]), (self.number, word[new])))
+        word = word[which]
+        sizes = self.sizes[word]
+        ids = gather(self.flat, self.starts[word], sizes)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        return ids, ends[bounds[1:]] - ends[bounds[:-1]]
+        return ids, upto[bounds[1:]] - upto[bounds[:-1]]
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of each text; bytes that ids spell wrongly stay as they are."""
@@ -279,6 +327,14 @@ class Codec:
         return [flat[a + (flat[a : a + 1] == b" ") : z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def word_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
+    """The rolling hash of points[s : e] for each start and end, from one running sum over all points."""
+    n = len(points)
+    power, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (base, np.uint64(pow(int(base), -1, 1 << 64))))
+    total = np.concatenate([[np.uint64(0)], np.cumsum((points.astype(np.uint64) + np.uint64(1)) * back[:n])])
+    return (total[ends] - total[starts]) * power[ends - 1]
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[s : s + n] for each start and size, one after the other."""
     shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
@@ -315,7 +371,9 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
     """doc_id, ids, n_tokens and round_trip of every row.
 
     round_trip: whether decoding gives the text back; only texts that hold U+2581 itself, which decodes to a space, don't.
-    Null and empty texts have no ids and come back empty. No shuffle; a task holds one slice of its texts at a time.
+    Null and empty texts have no ids and come back empty; repeated rows each have their own; ids may be null; an empty table
+    gives none; other columns, whatever their names, are not read. No shuffle; a task holds one slice of its texts at a
+    time. A very long text is a slice by itself, and a very long word takes a few dozen microseconds a character.
     """
     model = read_model(model_path)
 
