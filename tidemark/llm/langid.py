@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,34 +9,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample: rows of a language, characters of a row (a window at a hashed place), characters of a language.
-SAMPLE_ROWS, ROW_CHARS, LANG_CHARS = 200, 1024, 40_000
-#: Symbols parsed in one piece. A phrase ends with its piece, so that pieces of all texts advance together.
+#: Bounds of the labelled sample, parameters of ``learned``: rows of a language, characters of a row (a window at a hashed
+#: place), and languages; more languages are an error.
+SAMPLE_ROWS, ROW_CHARS, LANGUAGES = 256, 256, 200
+#: Symbols parsed in one piece; pieces of all texts advance together, and phrases go on over their ends.
 PIECE = 512
-#: Characters of text that are parsed together, and letters that are told apart.
-SLICE, LETTERS = 1 << 21, 250
+#: Symbols times languages that are parsed together.
+SLICE = 1 << 23
 UNKNOWN, GAP = 0, 1
 UNDETERMINED = "und"
+#: A text is in no learned language if even the nearest needs over MAX_BITS for each symbol (a parameter), SPARE phrases not
+#: counted, which let short texts stay. Text of a learned language needs 2 to 4, random letters 9 and more, strange scripts 15.
+MAX_BITS, SPARE = 7.0, 4
 
 
-def learned(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, str]:
+def learned(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = ROW_CHARS, languages: int = LANGUAGES) -> dict[str, str]:
     """Language to training text: windows of a bounded sample of the labelled rows, those of the least hashes.
 
-    The driver gets SAMPLE_ROWS windows of ROW_CHARS characters for each language at most. Tasks cut their rows to the
-    sample before any shuffle, and a window's place depends on id and length alone.
+    The driver gets ``rows`` windows of ``chars`` characters for each language at most, and an error for over ``languages``
+    of them. Tasks cut their rows to the sample before any shuffle; a window's place depends on id and length alone. Null
+    labels and texts and texts without a letter aren't learned from; equal windows count once; an empty table gives none.
     """
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    named = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     h = F.xxhash64(F.lit(7), F.col(id_col))
-    length = F.char_length(text_col)
-    begin = F.pmod(h, F.greatest(F.lit(1), length - ROW_CHARS).cast("long")).cast("int") + 1
+    begin = F.pmod(h, F.greatest(F.lit(1), F.char_length(text_col) - chars + 1).cast("long")).cast("int") + 1
     order = Window.partitionBy("lang").orderBy("h", "piece")
-    sample = rows.select(F.col(lang_col).alias("lang"), h.alias("h"), F.substring(F.col(text_col), begin, F.lit(ROW_CHARS)).alias("piece")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_ROWS)
+    found = named.select(F.col(lang_col).alias("lang"), h.alias("h"), F.substring(F.col(text_col), begin, F.lit(chars)).alias("piece"))
+    sample = found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
+    # The limit only bounds what the driver gets before it sees that there are too many.
+    held = sample.limit(languages * rows + 1).collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["nth"])):
+    for r in sorted(held, key=lambda r: (r["lang"], r["nth"])):
         own = texts.setdefault(r["lang"], [])
         if r["piece"] not in own:
             own.append(r["piece"])
-    return {lang: "\0".join(pieces)[:LANG_CHARS] for lang, pieces in texts.items()}
+    if len(texts) > languages or len(held) > languages * rows:
+        raise ValueError(f"over {languages} languages are labelled")
+    return {lang: "\0".join(pieces) for lang, pieces in texts.items()}
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -79,38 +87,86 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+class Transitions:
+    """All automata in one array: the transition of a state by a symbol lies at state + symbol, beside the state itself.
+
+    States are numbered so that no two transitions meet: they draw places until all of theirs are free, those of most
+    transitions first. Some 40 bytes a transition; one look at memory for a step.
+    """
+
+    def __init__(self, owner: np.ndarray, symbol: np.ndarray, target: np.ndarray, states: int, width: int):
+        degree = np.bincount(owner, minlength=states)
+        order = np.argsort(owner, kind="stable")
+        owner, symbol, target = owner[order], symbol[order], target[order]
+        first = np.cumsum(degree) - degree
+        room = max(64, 3 * len(owner), 2 * states)
+        self.place = np.full(states, -1, dtype=np.int64)
+        taken, used = np.zeros(room + width, dtype=bool), np.zeros(room, dtype=bool)
+        rng = np.random.default_rng(1)
+        low = [0, 1, 2, 4, 8, 16, 32, 64, 256, 1 << 40]
+        for a, z in zip(low[-2::-1], low[:0:-1], strict=True):
+            left, rounds = np.flatnonzero((degree >= a) & (degree < z)), 0
+            while left.size:
+                rounds += 1
+                if rounds % 64 == 0:
+                    taken, used = np.concatenate([taken, np.zeros(room, dtype=bool)]), np.concatenate([used, np.zeros(room, dtype=bool)])
+                guess = rng.integers(0, len(used), len(left))
+                n = degree[left]
+                nth = np.repeat(np.arange(len(left)), n)
+                own = np.arange(len(nth)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[left], n)
+                slot = guess[nth] + symbol[own]
+                # Of those that want one place, the last to claim it may have it.
+                claim, claims = np.zeros(len(taken), dtype=np.int32), np.zeros(len(used), dtype=np.int32)
+                claim[slot], claims[guess] = nth, np.arange(len(left))
+                bad = taken[slot] | (claim[slot] != nth)
+                ok = ~used[guess] & (claims[guess] == np.arange(len(left))) & (np.bincount(nth[bad], minlength=len(left)) == 0)
+                self.place[left[ok]] = guess[ok]
+                used[guess[ok]] = True
+                taken[slot[ok[nth]]] = True
+                left = left[~ok]
+        self.table = np.full(len(taken), -1, dtype=np.int64)
+        self.table[self.place[owner] + symbol] = self.place[owner] << 32 | self.place[target]
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each state goes by the symbol, and whether it goes anywhere (else the first is of no meaning)."""
+        held = self.table.take(state + symbol)
+        return held & 0xFFFFFFFF, (held >> 32) == state
+
+
 class CrossParser:
-    """Parses texts into the longest phrases that a language's training text holds; the fewest for its size wins."""
+    """Parses texts into the longest phrases that a language's training text holds; the fewest for its size wins.
+
+    A language's phrases come from its suffix automaton: a phrase goes on while there is a transition. Every letter of the
+    training texts is a symbol of its own, others are phrases of one symbol in every language.
+    """
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        seen = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        letters = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-        self.symbols = np.full(0x110000, GAP, dtype=np.uint8)
+        letters = sorted({c.lower()[0] for t in texts.values() for c in t if c.isalpha()})
+        number = {c: i + 2 for i, c in enumerate(letters)}
+        self.symbols = np.full(0x110000, GAP, dtype=np.int32)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
-                self.symbols[i] = letters.get(c.lower()[0], UNKNOWN)
+                self.symbols[i] = number.get(c.lower()[0], UNKNOWN)
         self.symbols[0xD800:0xE000] = GAP
         self.width = len(letters) + 2
-        tables, offsets, sizes, at = [], [], [], 0
+        owner, symbol, target, starts, sizes, at = [], [], [], [], [], 0
         for lang in self.langs:
             symbols, _, _ = self.read([texts[lang].replace("\0", "\U0010ffff")], split="\U0010ffff")
             nxt = automaton(symbols.tolist())
-            grid = np.full((len(nxt), self.width), -1, dtype=np.int64)
-            for s, own in enumerate(nxt):
-                for c, to in own.items():
-                    grid[s, c] = to
-            start = grid[0].copy()
-            ends = np.where(start >= 0, (start << 2) | 1, 2)
-            table = np.where(grid >= 0, grid << 2, ends[None, :])
-            table[0] = np.where(start >= 0, start << 2, 1)
-            tables.append(table.astype(np.int32).ravel())
-            offsets.append(at)
+            degree = np.fromiter(map(len, nxt), dtype=np.int64, count=len(nxt))
+            owner.append(at + np.repeat(np.arange(len(nxt)), degree))
+            symbol.append(np.fromiter((c for own in nxt for c in own), dtype=np.int64, count=degree.sum()))
+            target.append(at + np.fromiter((to for own in nxt for to in own.values()), dtype=np.int64, count=degree.sum()))
+            starts.append(at)
             sizes.append(max(2, len(symbols)))
-            at += table.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.offsets = np.array(offsets, dtype=np.int64)
+            at += len(nxt)
+        if self.langs:
+            self.edges = Transitions(np.concatenate(owner), np.concatenate(symbol), np.concatenate(target), at, self.width)
+            self.starts = self.edges.place[starts]
+            every = np.arange(self.width)
+            self.known = np.array([self.edges.follow(np.full(self.width, at), every)[1] for at in self.starts])
         self.bits = np.log2(np.array(sizes, dtype=float))
 
     def read(self, texts: list[str], split: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,47 +179,110 @@ class CrossParser:
         gap = symbols == GAP
         keep = ~gap
         keep[1:] |= ~gap[:-1]
-        starts = ends - np.diff(ends, prepend=0)
-        keep[starts[starts < len(keep)]] |= False
         count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[np.concatenate([[0], ends])])
         return symbols[keep], count(keep), count(~gap) > 0
 
+    def step(self, state: np.ndarray, start: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after a symbol, and whether a phrase starts with it."""
+        to, goes = self.edges.follow(state, symbol)
+        first = ~goes
+        again = np.flatnonzero(first)
+        if again.size:
+            own = start.ravel()[again]
+            back, goes = self.edges.follow(own, np.broadcast_to(symbol, to.shape).ravel()[again])
+            # A symbol that no phrase starts with is one by itself.
+            to.ravel()[again] = np.where(goes, back, own)
+        return to, first | (state == start)
+
     def phrases(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Phrases of each text by language."""
+        """Phrases of each text by language, counted where they start.
+
+        All pieces of all texts are parsed at once as if a phrase started with each. Then every piece is parsed again from
+        the state in which the piece before it ends, until a phrase starts where one did the first time: from there on
+        both are the same. A piece that ends in another state than was taken for it sends its next piece round once more.
+        """
         pieces = -(-counts // PIECE)
         text = np.repeat(np.arange(len(counts)), pieces)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = np.repeat(np.cumsum(counts) - counts, pieces) + nth * PIECE
         size = np.minimum(PIECE, np.repeat(counts, pieces) - nth * PIECE)
         order = np.argsort(-size, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        # Lanes are pieces, longest first, times languages; the next piece of a text by its lane, -1 for the last.
+        after = np.where(np.append(nth[1:] > 0, False), np.append(place[1:], 0), -1)[order]
         begin, size, text = begin[order], size[order], text[order]
-        state = np.zeros((len(self.langs), len(text)), dtype=np.int64)
-        total = np.zeros_like(state)
-        active = np.searchsorted(-size, -np.arange(PIECE), side="left")
-        for j in range(int(size[0]) if len(size) else 0):
-            k = int(active[j])
-            at = state[:, :k] * self.width
-            at += symbols[begin[:k] + j]
-            at += self.offsets[:, None]
-            went = self.table[at]
-            total[:, :k] += went & 3
-            state[:, :k] = went >> 2
-        total += state != 0
-        out = np.zeros((len(counts), len(self.langs)))
-        for i in range(len(self.langs)):
-            out[:, i] = np.bincount(text, weights=total[i], minlength=len(counts))
+        k, n = len(self.langs), len(text)
+        start = np.repeat(self.starts, n).reshape(k, n)
+        state = start.copy()
+        longest = int(size[0]) if n else 0
+        marks = np.zeros((longest, k, n), dtype=bool)
+        active = np.searchsorted(-size, -np.arange(longest), side="left")
+        for j in range(longest):
+            m = int(active[j])
+            state[:, :m], marks[j, :, :m] = self.step(state[:, :m], start[:, :m], symbols[begin[:m] + j][None, :])
+        total = marks.sum(axis=0, dtype=np.int64).ravel()
+        ends, first_ends, starts = state.ravel().copy(), state.ravel(), start.ravel()
+        upto = np.cumsum(marks, axis=0, dtype=np.int16).reshape(longest, k * n) if longest else np.zeros((0, k * n), np.int16)
+        marks = marks.reshape(longest, k * n)
+        lane = np.arange(k * n)
+        follow = np.where(after[lane % max(n, 1)] >= 0, lane // max(n, 1) * n + after[lane % max(n, 1)], -1) if n else lane
+        todo = np.flatnonzero((follow >= 0) & (ends != starts))
+        while todo.size:
+            # Each lane of ``todo`` ended in a new state: its next piece is parsed from there.
+            lanes, now = follow[todo], ends[todo]
+            changed, j = [], 0
+            spent = np.zeros(len(lanes), dtype=np.int64)
+            while lanes.size:
+                over = size[lanes % n] <= j
+                if over.any():  # never met: the piece ends as this parse does
+                    gone = lanes[over]
+                    total[gone] = spent[over]
+                    changed.append(gone[ends[gone] != now[over]])
+                    ends[gone] = now[over]
+                    lanes, now, spent = lanes[~over], now[~over], spent[~over]
+                    continue
+                now, first = self.step(now, starts[lanes], symbols[begin[lanes % n] + j])
+                met = first & marks[j, lanes]
+                if met.any():
+                    gone = lanes[met]
+                    total[gone] = spent[met] + upto[size[gone % n] - 1, gone] - upto[j, gone] + 1
+                    changed.append(gone[ends[gone] != first_ends[gone]])
+                    ends[gone] = first_ends[gone]
+                    keep = ~met
+                    lanes, now, spent, first = lanes[keep], now[keep], spent[keep], first[keep]
+                spent += first
+                j += 1
+            todo = np.concatenate(changed) if changed else np.zeros(0, np.int64)
+            todo = todo[follow[todo] >= 0]
+        out = np.zeros((len(counts), k))
+        for i, own in enumerate(total.reshape(k, n)):
+            out[:, i] = np.bincount(text, weights=own, minlength=len(counts))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text. The score is the winner's share of the inverse entropies of all languages."""
+    def strangers(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Symbols of each text that a language's training text doesn't hold, by language."""
+        odd = np.flatnonzero(~self.known.all(axis=0)[symbols])
+        text = np.searchsorted(np.cumsum(counts), odd, side="right")
+        return np.stack([np.bincount(text[~known[symbols[odd]]], minlength=len(counts)) for known in self.known], axis=1)
+
+    def predict(self, texts: list[str | None], max_bits: float = MAX_BITS) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether it is in a learned language (see MAX_BITS) at all.
+
+        The score is the winner's share of the inverse entropies of all languages.
+        """
         symbols, counts, letters = self.read([t or "" for t in texts])
         if not self.langs:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        entropy = self.phrases(symbols, counts) * self.bits[None, :] / np.maximum(counts, 1)[:, None]
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), letters
+        # A strange symbol costs twice: a phrase that points nowhere, and the symbol itself.
+        spent = self.phrases(symbols, counts) + self.strangers(symbols, counts)
+        entropy = spent * self.bits[None, :] / np.maximum(counts, 1)[:, None]
         inverse = 1 / np.maximum(entropy, 1e-9)
         best = inverse.argmax(axis=1)
         score = np.where(letters, inverse.max(axis=1) / inverse.sum(axis=1), 0.0)
-        return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], score
+        row = np.arange(len(best))
+        near = letters & ((spent[row, best] - SPARE) * self.bits[best] <= max_bits * counts)
+        return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], score, near
 
 
 _parsers: dict[tuple, CrossParser] = {}
@@ -182,43 +301,54 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
     """doc_id, lang_pred and score of every row; reads nothing but the text.
 
     Null texts and texts without a letter are ``und`` with score 0; ties go to the language that sorts first. Without any
-    learned language all are ``und``.
+    learned language all are ``und``. Very long texts are parsed whole, in pieces side by side; repeated rows and rows without an id each
+    have their result; other columns, whatever their names, are not read; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(texts)
         for b in batches:
-            for a, z, own in text_slices(b.column(1)):
-                langs, score = p.predict(own)
+            for a, z, own in text_slices(b.column(1), len(texts)):
+                langs, score, _ = p.predict(own)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
-    texts, at = column.to_pylist(), 0
+def text_slices(column: pa.Array, langs: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Texts that are parsed together: fewer characters for more languages, so that a worker's memory stays the same."""
+    texts, at, chars = column.to_pylist(), 0, SLICE // max(1, langs)
     while at < len(texts):
         begin, total = at, 0
-        while at < len(texts) and (total < SLICE or at == begin):
+        while at < len(texts) and (total < chars or at == begin):
             total += len(texts[at] or "")
             at += 1
         yield begin, at, texts[begin:at]
 
 
-def keep_identified(docs: DataFrame, texts: dict[str, str], text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns as they are, whose language is determined; the others are rejected.
+def keep_identified(docs: DataFrame, texts: dict[str, str], text_col: str = "text", lang_col: str = "lang", max_bits: float = MAX_BITS) -> DataFrame:
+    """The rows whose text is in a learned language by its cross-parsing entropy (see MAX_BITS); the others are rejected.
 
-    Rows stay where they are: each task parses its own texts and drops its own rejects, without a shuffle.
+    Rows without a label get the predicted one; all else stays as it is, columns of any other name among it. Null texts and
+    texts without a letter go; without any learned language no other text can be rejected, nor labelled. Rows stay where
+    they are, repeated ones among them: each task parses its own texts whole and drops its own rejects, without a shuffle. An
+    empty table gives none.
     """
 
-    at = docs.columns.index(text_col)
+    at, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(texts)
         for b in batches:
             keep: list[bool] = []
-            for _, _, own in text_slices(b.column(at)):
-                keep += [x != UNDETERMINED for x in p.predict(own)[0]]
+            found: list[str] = []
+            for _, _, own in text_slices(b.column(at), len(texts)):
+                langs, _, near = p.predict(own, max_bits)
+                keep += near.tolist()
+                found += langs
+            if texts:
+                named = pa.array([x or y for x, y in zip(b.column(lang).to_pylist(), found, strict=True)], b.schema.field(lang).type)
+                b = b.set_column(lang, b.schema.field(lang), named)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
