@@ -65,11 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_shard_by_bytes, op4_format_chats, op5_imatch, op6_scan_secrets, op7_nearest, op8_simhash, op9_language, op10_warc)
 }
 
-#: Means stay below 64 in these tables, so each count is one draw: the least k whose distribution function reaches the number.
+#: Means stay below 64 in these tables and no row shares id and text with another, so each count is one draw: the least k whose distribution function reaches the number.
 MIX_SQL = """WITH RECURSIVE n AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS w FROM documents GROUP BY 1),
 rates AS (SELECT source, (SELECT CAST(sum(n) AS DOUBLE) FROM n) * w / (SELECT sum(w) FROM n) / n AS mean FROM n),
 pmf AS (SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS cdf FROM rates UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM pmf WHERE k < mean + 12 * sqrt(mean) + 20),
-u AS (SELECT *, (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM documents),
+u AS (SELECT *, (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '') || ':1'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM documents),
 counted AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT count(*) FROM pmf WHERE pmf.source IS NOT DISTINCT FROM u.source AND pmf.cdf < u.u) AS c FROM u)
 SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, c + 1)) AS INTEGER) AS copy FROM counted"""
 
@@ -93,7 +93,7 @@ u AS (SELECT page_id, html, regexp_replace(regexp_replace(url, '^[a-z][a-z0-9+.-
 h AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*'), ':(80|443)$', ''), '^www\\d*\\.', '') AS host, regexp_replace(bare, '^[^/?]*', '') AS rest FROM u)
 SELECT h.page_id, CAST(octet_length(encode(h.html)) AS BIGINT) AS payload_bytes, sha256(h.html) AS payload_digest, CASE WHEN f.first < h.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN f.first < h.page_id THEN f.first END AS refers_to, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key,
-  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(h.page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(h.page_id // 1000), '%Y-%m-%dT%H:%M:%S.%f') || lpad(CAST(h.page_id % 1000 AS VARCHAR), 3, '0') || 'Z' AS captured
 FROM h LEFT JOIN f ON f.html = h.html"""
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op3_shard_by_bytes": SHARD_SQL, "op7_nearest": NEAREST_SQL, "op10_warc": WARC_SQL}

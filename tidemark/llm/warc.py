@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -20,8 +21,12 @@ from tidemark.llm._common import cut_lineage, shared_dir, shuffle_partitions
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
 LEVEL = 1
+#: An archive of so many bytes is closed and the next one begun; one task reads an archive.
+ARCHIVE_BYTES = 1 << 30
+#: Index rows that one task merges, some 300 bytes each; more captures make more ranges.
+RANGE_ROWS = 200_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
-SCHEMA = "page_id long, url string, url_key string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, run int, seq long"
+SCHEMA = "page_id long, url string, url_key string, captured string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, run long, seq long"
 
 
 def url_key(url: Column) -> Column:
@@ -33,8 +38,9 @@ def url_key(url: Column) -> Column:
 
 
 def captured(page_id: int | None) -> str:
-    """The time of a capture; the pages have none, so their ids count seconds."""
-    return (EPOCH + timedelta(seconds=max(0, min(page_id or 0, 10**10)))).strftime("%Y-%m-%dT%H:%M:%SZ")
+    """The time of a capture; the pages have none, so their ids count nanoseconds, which tells any two ids apart (missing: 0)."""
+    seconds, rest = divmod(page_id or 0, 10**9)
+    return (EPOCH + timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%S") + f".{rest:09d}Z"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -83,10 +89,11 @@ def revisits(pages: DataFrame) -> DataFrame:
     return found.join(cut_lineage(first), "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write one record for every row into gzipped archives in ``folder``, one for each task; returns their names and sizes.
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write one record for every row into gzipped archives in ``folder``; returns their names and sizes.
 
-    Rows are dealt evenly by id, and each task sorts its own by URL key, time and id: an archive is a sorted capture run.
+    Rows stay in the tasks that join them with their payload's first page; each task sorts its own by URL key, time and id
+    and begins another archive whenever one has ``archive_bytes``: an archive is a sorted capture run.
     A task writes to a name of its own attempt and renames it when it is whole, so a lost or repeated task leaves nothing
     half-written under a final name. Null payloads are empty; null URLs have no target; null ids are responses.
     """
@@ -98,23 +105,33 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        name = f"run-{task.partitionId():06d}.warc.gz"
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
-        draft, n, size = f"{root}/.{name}.{task.taskAttemptId()}", 0, 0
-        out = None
+        out, done, n, size, name, draft = None, [], 0, 0, "", ""
+
+        def close() -> None:
+            out.close()
+            store.move(draft, f"{root}/{name}")
+            done.append((task.partitionId() << 20 | len(done), f"{folder}/{name}", n, size))
+
         for b in batches:
             for page_id, url, html, digest, refers_to in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
-                out = out or store.open_output_stream(draft)
+                if out is None:
+                    name = f"run-{task.partitionId():06d}-{len(done):06d}.warc.gz"
+                    draft, n, size = f"{root}/.{name}.{task.taskAttemptId()}", 0, 0
+                    out = store.open_output_stream(draft)
                 packed = gzip.compress(record("response" if refers_to is None else "revisit", page_id, url, html.encode("utf-8"), digest, refers_to), LEVEL, mtime=0)
                 out.write(packed)
                 n, size = n + 1, size + len(packed)
+                if size >= archive_bytes:
+                    close()
+                    out = None
         if out is not None:
-            out.close()
-            store.move(draft, f"{root}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["run", "archive", "records", "bytes"])
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["run", "archive", "records", "bytes"])
 
-    return cut_lineage(rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "run int, archive string, records long, bytes long"))
+    return cut_lineage(rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "run long, archive string, records long, bytes long"))
 
 
 def records_of(archive: str) -> Iterator[tuple[int, bytes]]:
@@ -152,7 +169,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield batch(rows)
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
-        kinds = {"page_id": pa.int64(), "url": pa.string(), "captured": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "archive": pa.string(), "offset": pa.int64(), "run": pa.int32(), "seq": pa.int64()}
+        kinds = {"page_id": pa.int64(), "url": pa.string(), "captured": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "archive": pa.string(), "offset": pa.int64(), "run": pa.int64(), "seq": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
 
     schema = ", ".join(x for x in SCHEMA.split(", ") if not x.startswith("url_key"))
@@ -197,36 +214,41 @@ class LoserTree:
             self.top = i
 
 
-def merge_runs(index: DataFrame) -> DataFrame:
+def merge_runs(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All index rows in global order of URL key, time and page id, with ``place`` rising along it.
 
-    The order is cut into ranges of near-equal size, a URL of very many captures over several. A task gets of every run the
-    slice in its range, in the run's own order, and merges the slices by a loser tree.
+    The order is cut into ranges of about ``range_rows`` rows at most, a URL of very many captures over several. A task gets
+    of every run the slice in its range, in the run's own order, and merges the slices by a loser tree. It holds the range
+    as Arrow columns; of each slice a few rows at a time become keys, and what is merged goes on at once.
     """
-    n = shuffle_partitions(index.sparkSession)
+    n = max(shuffle_partitions(index.sparkSession), -(-index.count() // range_rows))
     keys = ["url_key", "captured", F.col("page_id").asc_nulls_first(), "run", "seq"]
     columns = index.columns
-    at = {c: i for i, c in enumerate(columns)}
-    order = [at[c] for c in ("url_key", "captured", "page_id", "run", "seq")]
 
-    def key(row: tuple) -> tuple:
-        u, t, p, r, s = (row[i] for i in order)
-        return (u.encode("utf-8"), t, p is not None, p or 0, r, s)
+    def slice_keys(held: pa.Table, a: int, z: int) -> Iterator[tuple]:
+        for at in range(a, z, 256):
+            part = held.slice(at, min(256, z - at))
+            rows = zip(*[part[c].to_pylist() for c in ("url_key", "captured", "page_id", "run", "seq")], strict=True)
+            for i, (u, t, p, r, s) in enumerate(rows, at):
+                yield (u.encode("utf-8"), t, p is not None, p or 0, r, s), i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[tuple]] = {}
-        schema = None
-        for b in batches:
-            schema = b.schema
-            for row in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)], strict=True):
-                runs.setdefault(row[at["run"]], []).append(row)
-        if schema is None:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        merged = list(LoserTree([((key(r), r) for r in own) for own in runs.values()]))
-        for a in range(0, len(merged), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*merged[a : a + 5000], strict=True), schema, strict=True)], schema=schema)
-
-    dealt = index.repartitionByRange(n, *keys).sortWithinPartitions("run", "seq")
+        held = pa.Table.from_batches(got).combine_chunks()
+        number = held["run"].to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]]).tolist()
+        merged: list[int] = []
+        for i in LoserTree([slice_keys(held, a, z) for a, z in zip(starts[:-1], starts[1:], strict=True)]):
+            merged.append(i)
+            if len(merged) == 5000:
+                yield from held.take(pa.array(merged)).to_batches()
+                merged = []
+        if merged:
+            yield from held.take(pa.array(merged)).to_batches()
+
+    dealt = index.select(*columns).repartitionByRange(n, *keys).sortWithinPartitions("run", "seq")
     return dealt.mapInArrow(run, index.schema).withColumn("place", F.monotonically_increasing_id())
 
 
@@ -238,7 +260,8 @@ def capture_histories(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages`` to archives, read these back, and return every capture in order of its URL key and time (see SCHEMA, place).
 
     Of records with equal payloads of at least 100 bytes the one of the least page_id is the response and the others revisit
-    it. Repeated rows of one id and payload are responses or revisits alike. An empty table gives no archive and no rows.
+    it. Repeated rows of one id and payload are responses or revisits alike. A long payload is held whole by the task that
+    writes or reads it; other columns, whatever their names, are not read. An empty table gives no archive and no rows.
     """
     archives = write_archives(pages, folder or new_folder(pages.sparkSession))
     return merge_runs(cut_lineage(read_archives(archives)))
