@@ -36,9 +36,10 @@ def poisson_count(u: float, mean: float) -> int:
     return k
 
 
-def unit(seed, doc_id, chunk=1):
-    text = ":".join([str(seed), "" if doc_id is None else str(doc_id), str(chunk)])
-    return (int(hashlib.md5(text.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+def unit(seed, doc_id, text, chunk=1):
+    digest = "" if text is None else hashlib.md5(text.encode()).hexdigest()
+    own = ":".join([str(seed), "" if doc_id is None else str(doc_id), digest, str(chunk)])
+    return (int(hashlib.md5(own.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0}])
@@ -49,8 +50,32 @@ def test_mix_matches_brute_force(odd, weights):
     w = {s: (c**0.5 if weights is None else weights.get(s, 0.0)) for s, c in n.items()}
     want = Counter()
     for r in rows:
-        want[(r.doc_id, r.text)] += poisson_count(unit(42, r.doc_id), 40 * w[r.source] / sum(w.values()) / n[r.source])
-    assert got == Counter({k: v for k, v in want.items() if v})
+        want[(r.doc_id, r.text)] += poisson_count(unit(42, r.doc_id, r.text), 40 * w[r.source] / sum(w.values()) / n[r.source])
+    twice = {(r.doc_id, r.text) for r in rows if r.doc_id == 2}  # draws by its place
+    assert {k: v for k, v in got.items() if k not in twice} == {k: v for k, v in want.items() if v and k not in twice}
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_mix_draws_rows_without_or_of_equal_id_apart(spark, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "BROADCAST_REPEATED", limit)
+    rows = [(None, f"text {i}", "a") for i in range(1000)] + [(i, "x", "b") for i in range(1000)] + [(None, "same", "c")] * 1000 + [(7, None, "d")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix_sources(docs).cache()
+    counts = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    assert set(counts) == set("abcd") and all(abs(n - 1000) < 5 * 1000**0.5 for n in counts.values())
+    # No task gets all copies of a row, or all rows without an id.
+    most = got.groupBy("source", F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 500
+
+
+def test_mix_clashing_columns(odd):
+    names = ["tm_source", "tm_row", "TM_U", "tm_count", "tm_copy", "tm_order", "tm_mean", "tm_chunks", "tm_cdf", "tm_key", "tm_place", "tm_repeated", "tm_n", "tm_w"]
+    clash = odd.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    got = mixing.mix_sources(clash, total=60)
+    assert got.columns == [*clash.columns, "copy"]
+    rows = got.collect()
+    assert rows and all(tuple(r)[6:-1] == tuple(range(len(names))) for r in rows)
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in mixing.mix_sources(odd, total=60).collect())
 
 
 def test_mix_reaches_target_weights(many):
@@ -63,7 +88,7 @@ def test_mix_large_means_draw_in_chunks(spark, odd):
     one = odd.filter("doc_id = 10")
     n = mixing.mix_sources(one, total=5000).count()
     assert abs(n - 5000) < 5 * 5000**0.5
-    want = sum(poisson_count(unit(42, 10, j), 5000 / 79) for j in range(1, 80))
+    want = sum(poisson_count(unit(42, 10, "word", j), 5000 / 79) for j in range(1, 80))
     assert n == want
 
 
@@ -415,6 +440,23 @@ def test_drop_near_duplicates_keeps_one_of_each_group(spark, many):
     assert Counter(r.doc_id for r in simhash.drop_near_duplicates(many).collect()) == Counter(least)
 
 
+def test_near_duplicates_clashing_columns(odd):
+    clash = odd.withColumns({"tm_id": F.lit("a"), "TM_TEXT": F.lit("b"), "fp": F.lit("c"), "first": F.lit("d")})
+    for drop in (simhash.drop_near_duplicates, similar.drop_similar):
+        got = drop(clash)
+        assert got.columns == clash.columns and {tuple(r)[-4:] for r in got.collect()} == {tuple("abcd")} and got.count() == drop(odd).count()
+
+
+def test_bucket_forest_by_all_pairs():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 256, (5, 96), dtype=np.uint8)
+    sig = base[rng.integers(0, 5, 300)]
+    noise = rng.random(sig.shape) < rng.random((300, 1)) * 0.5
+    sig = np.where(noise, rng.integers(0, 256, sig.shape, dtype=np.uint8), sig)
+    near = [(i, j) for i in range(300) for j in range(i) if (sig[i] == sig[j]).sum() >= similar.AGREE]
+    assert brute_components(range(300), near) == brute_components(range(300), list(similar.bucket_forest(sig)))
+
+
 # --- the pipeline's near-duplicates
 
 def brute_shingles(text):
@@ -447,6 +489,7 @@ def test_pipeline_drops_five_word_near_copies(spark, many):
     assert 150 < n < 150 * 149 // 2 and {1000, 2000, 2010} <= set(want) and 1010 not in want
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == want
+    assert sorted(r.doc_id for r in similar.drop_similar(df, block=5).collect()) == want
     want, n = brute_similar([(r.doc_id, r.text) for r in many.collect()])
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, many, "").collect()) == want
 

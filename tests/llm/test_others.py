@@ -194,6 +194,24 @@ def test_warc_odd_rows(spark, tmp_path):
     assert keys[0] == "com,example)/x" and keys[1] == "com,example,a)/x" and keys[5] == "com,example,a)/"
 
 
+def test_warc_times_follow_all_ids(spark):
+    ids = [-(2**63), -5, -1, 0, 1, 10**9, 10**10, 10**10 + 1, 2**63 - 1]
+    assert sorted(map(warc.captured, ids)) == [warc.captured(i) for i in ids] and len({warc.captured(i) for i in ids}) == len(ids)
+    pages = spark.createDataFrame([(i, "http://a/x", f"body {i}", None) for i in ids], PAGES)
+    got = sorted(warc.capture_histories(pages).collect(), key=lambda r: r.place)
+    assert [r.page_id for r in got] == ids and [r.captured for r in got] == [warc.captured(i) for i in ids]
+
+
+def test_warc_many_small_archives_and_ranges(spark, tmp_path):
+    pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").repartition(3)
+    archives = warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=20_000)
+    assert archives.count() > 6 and archives.select("run").distinct().count() == archives.count()
+    rows = warc.merge_runs(warc.read_archives(archives), 20).collect()
+    assert facts(rows) == brute_warc(pages.collect()) and len({r.place >> 33 for r in rows}) > 8
+    order = [(r.url_key.encode(), r.captured, r.page_id) for r in sorted(rows, key=lambda r: r.place)]
+    assert order == sorted(order)
+
+
 def test_warc_finds_damage():
     raw = warc.record("response", 1, "http://a", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc.parse(raw)["payload"] == b"payload"

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import cut_lineage
+from tidemark.llm._common import cut_lineage, own_names, shuffle_partitions
 
 BITS, SEED = 64, 42
 #: Fingerprints that differ in this many bits at most are linked.
@@ -22,6 +22,8 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, seed=SEED) for i in r
 FIRST_BLOCKS, FIRST_KEPT = 5, 2
 #: A bucket of more fingerprints is split by a second family of keys over its free bits (see ``finer``).
 BUCKET = 8192
+#: Edges of a part while components are found.
+PART_ROWS = 20_000
 #: Bytes of text whose shingles are counted together.
 SLICE = 4 << 20
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -250,24 +252,30 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that edges (a, b) reach, for nodes with a smaller one in reach.
 
     Alternating large-star and small-star steps; each keeps the components, needs one minimum for each node, and adds no
-    edge. They end when the edges are stars. Every round is checkpointed.
+    edge. They end when the edges are stars. Every round is checkpointed, in as many parts as its rows need.
     """
-    edges = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def cut(df: DataFrame) -> DataFrame:
+        return cut_lineage(df.coalesce(parts))
+
+    parts = shuffle_partitions(edges.sparkSession)
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         sums = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (sums["n"], sums["h"]) == mark or not sums["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = (sums["n"], sums["h"])
+        parts = min(shuffle_partitions(edges.sparkSession), 1 + sums["n"] // PART_ROWS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima come from files, so that a join can split the rows of a node with very many neighbours.
-        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut_lineage(large)
-        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         edges = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = cut_lineage(edges)
+        edges = cut(edges)
 
 
 def firsts(rows: DataFrame, first: Column, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -291,8 +299,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint (16 hex digits) and component_id of every row.
 
     component_id is the least doc_id that links reach. Null and wordless texts have fingerprint 0, which links as any
-    other. Rows without a doc_id link, but give no component_id; where no row of a component has one it is null. An empty
-    table gives none.
+    other. Rows without a doc_id link, but give no component_id; where no row of a component has one it is null. Repeated
+    rows each have a row; very long texts are read whole; other columns, whatever their names, are not read. An empty table
+    gives none.
     """
     rows = cut_lineage(fingerprint_rows(docs, id_col, text_col).select("doc_id", "fp"))
     found = first_by_fingerprint(rows, F.col("doc_id"), limit)
@@ -303,7 +312,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The same columns; of each component one row stays, that of the least id, and of the least text hash in it.
 
     Rows are told apart by id and text: an id that comes with several texts stays once for each component in which it is
-    the least. Rows without an id come last, so one of them stays only where no row of its component has an id.
+    the least. Rows without an id come last, so one of them stays only where no row of its component has an id. Null and
+    wordless texts are alike; very long texts are read whole; columns of any other name pass as they are; an empty table gives none.
     """
     rows = cut_lineage(fingerprint_rows(docs, id_col, text_col))
     return keep_first(docs, rows, lambda fps: link(fps, limit), id_col, text_col)
@@ -318,6 +328,7 @@ def keep_first(docs: DataFrame, rows: DataFrame, edges_of: Callable[[DataFrame],
     """The rows of ``docs`` that are the first of a component, told apart by doc_id and text_hash of ``rows``."""
     own = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("text_hash"))
     kept = rows.join(firsts(rows, own, edges_of), "fp").filter(own == F.col("first"))
-    keys = cut_lineage(kept.select(row_key(F.col("doc_id")).alias("tm_id"), F.col("text_hash").alias("tm_text")).distinct())
-    keyed = docs.withColumns({"tm_id": row_key(F.col(id_col)), "tm_text": F.xxhash64(text_col)})
-    return keyed.join(keys, ["tm_id", "tm_text"], "left_semi").dropDuplicates(["tm_id", "tm_text"]).select(*docs.columns)
+    row, text = own_names(docs, "tm_id", "tm_text")
+    keys = cut_lineage(kept.select(row_key(F.col("doc_id")).alias(row), F.col("text_hash").alias(text)).distinct())
+    keyed = docs.withColumns({row: row_key(F.col(id_col)), text: F.xxhash64(text_col)})
+    return keyed.join(keys, [row, text], "left_semi").dropDuplicates([row, text]).select(*docs.columns)
