@@ -9,10 +9,31 @@ from pyspark.sql import functions as F
 FORMATS = ["dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yy HH:mm:ss", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]
 
 
-def parse_date(c: Column) -> Column:
-    """A timestamp without zone for text of a known shape, day first; null for any other."""
+#: A date anywhere in a text, with or without a time: day first, year first, and with the month's English name.
+CLOCK = r"(?:[\sT,]+(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
+LENIENT = [
+    (rf"(?<!\d)(\d{{1,2}})[./-](\d{{1,2}})[./-](\d{{4}}|\d{{2}})(?!\d){CLOCK}", (3, 2, 1)),
+    (rf"(?<!\d)(\d{{4}})[./-](\d{{1,2}})[./-](\d{{1,2}})(?!\d){CLOCK}", (1, 2, 3)),
+    (rf"(?i)(?<!\d)(\d{{1,2}})\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s+(\d{{4}}){CLOCK}", (3, 2, 1)),
+]
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+
+def found_date(c: Column, pattern: str, places: tuple[int, int, int]) -> Column:
+    part = lambda i: F.regexp_extract(c, pattern, i)
+    number = lambda i: F.when(part(i) != "", part(i).cast("int")).otherwise(0)
+    year, month, day = (part(i) for i in places)
+    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year).cast("int")
+    named = (F.position(F.lower(F.substring(month, 1, 3)), F.lit(MONTHS)) + 2) / 3
+    month = F.when(month.rlike("[A-Za-z]"), named.cast("int")).otherwise(month.try_cast("int"))
+    return F.when(part(0) != "", F.try_make_timestamp_ntz(year, month, day.try_cast("int"), number(4), number(5), number(6).cast("decimal(16,6)")))
+
+
+def parse_date(c: Column, lenient: bool = True) -> Column:
+    """A timestamp without zone for text of a known shape, day first; else (``lenient``) for the first date found in the text; else null."""
     text = F.translate(F.trim(c), "/", ".")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS]).cast("timestamp_ntz")
+    strict = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in FORMATS]
+    return F.coalesce(*strict, *([found_date(c, p, places) for p, places in LENIENT] if lenient else []))
 
 
 def date_text(c: Column) -> Column:
@@ -46,11 +67,14 @@ def longest_runs(df: DataFrame, ts: str, least: int, by: list[str] | None = None
 def filter_by_date(df: DataFrame, date_from: str | None = None, date_to: str | None = None, last_n_days: int | None = None, consecutive_days: int | None = None, as_of: str | None = None, ts: str = "event_ts", by: list[str] | None = None) -> DataFrame:
     """One window: the longest run of active days, else the last days, else a range that needs both ends, else none.
 
-    Rows without a date go in any case; a table without the column stays as it is. A run keeps its rows up to and with the
-    midnight after its last day. With ``by`` each of its values has its own run.
+    Rows without a date go in any case; a table that has the text column ``date`` alone is filtered by that, and one without
+    either stays as it is. A run keeps its rows up to and with the midnight after its last day. With ``by`` each of its values has its own run.
     """
     if ts not in df.columns:
-        return df
+        if "date" not in df.columns:
+            return df
+        dated = df.withColumn(ts, parse_date(F.col("date").cast("string")))
+        return filter_by_date(dated, date_from, date_to, last_n_days, consecutive_days, as_of, ts, by).drop(ts)
     df = df.filter(F.col(ts).isNotNull())
     if consecutive_days:
         run = longest_runs(df, ts, consecutive_days, by)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.schema import DASH
+from tidemark.sources.shared import cut_lineage
 
 
 def mode_by(df: DataFrame, keys: list[str], value: str, seq: str = "ingest_seq", out: str = "mode") -> DataFrame:
@@ -47,6 +48,19 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return df.select(F.row_number().over(Window.orderBy(*order)).alias("no"), "*")
 
 
+def numbered_by_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """As ``numbered`` for tables of any size: rows are sorted in ranges of the order, and each range counts from its offset."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())
+    rows = cut_lineage(sorted_).withColumn("range_", F.shiftright("at_", 33))
+    sizes = rows.groupBy("range_").agg(F.count("*").alias("n_"))
+    # As many rows as ranges.
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("range_", before.alias("before_"))
+    no = (F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")
+    return rows.join(F.broadcast(offsets), "range_").select(no.alias("no"), *df.columns)
+
+
 def with_items(df: DataFrame, items: DataFrame, key: str, out: str) -> DataFrame:
     return df.join(items, key, "left").withColumn(out, F.coalesce(out, F.lit(DASH)))
 

@@ -43,14 +43,52 @@ def column_map(grid: DataFrame) -> DataFrame:
     return places.groupBy(*SHEET, "header_row").agg(F.map_from_entries(F.collect_list(F.struct("target", "pos"))).alias("mapping"))
 
 
+def readable(grid: DataFrame) -> DataFrame:
+    return grid.filter("error is null") if "error" in grid.columns else grid
+
+
+def numbered_sheets(grid: DataFrame) -> DataFrame:
+    """``column_map`` with ``sheet_no``: the sheet's place in the order of tables and sheets. One row for each sheet."""
+    return column_map(readable(grid)).withColumn("sheet_no", F.row_number().over(Window.orderBy(*SHEET)).cast("long"))
+
+
+def not_blank() -> Column:
+    return F.exists("cells", lambda x: x.isNotNull() & (x != ""))
+
+
+def rejected_sheets(grid: DataFrame) -> DataFrame:
+    """(_table_name, _sheet_name, reason) of sheets that give no tickets: those that couldn't be read, with the error, and those without a header.
+
+    A sheet that breaks off keeps the tickets before the break, and is listed.
+    """
+    none = readable(grid).select(*SHEET).distinct().join(column_map(readable(grid)).select(*SHEET), SHEET, "left_anti").withColumn("reason", F.lit("no header"))
+    if "error" not in grid.columns:
+        return none
+    broken = grid.filter("error is not null").groupBy(*SHEET).agg(F.min("error").alias("reason"))
+    return none.join(broken, SHEET, "left_anti").unionByName(broken)
+
+
+def statistics(grid: DataFrame) -> DataFrame:
+    """One row: tables, sheets, rejected sheets, rows below headers, blank ones of them, tickets, and how many of these repeat an id."""
+    rows = readable(grid).join(numbered_sheets(grid), SHEET).filter("row_idx > header_row")
+    read = rows.agg(
+        F.count_distinct("_table_name").alias("tables"), F.count_distinct(*SHEET).alias("sheets"), F.count("*").alias("rows_below_headers"), F.count_if(~not_blank()).alias("rows_skipped"), F.count_if(not_blank()).alias("tickets")
+    )
+    ids = tickets(grid).filter(F.trim(F.coalesce("ticket_id", F.lit(""))) != "").groupBy("ticket_id").agg((F.count("*") - 1).alias("more"))
+    again = ids.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("duplicates"))
+    # Three tables of one row.
+    return read.join(again, F.lit(True)).join(rejected_sheets(grid).agg(F.count("*").alias("sheets_rejected")), F.lit(True))
+
+
 def tickets(grid: DataFrame) -> DataFrame:
     """Typed tickets of all sheets with a header, from the rows below it; blank rows and sheets without a header go.
 
-    ``grid``: _table_name, _sheet_name, row_idx, cells. ingest_seq is the row's place in its sheet; it orders ties.
+    ``grid``: _table_name, _sheet_name, row_idx, cells and, from ``read_grid``, error (see ``rejected_sheets``). ingest_seq is the
+    row's place in the order of tables, sheets and rows; it orders ties over all sheets.
     """
-    maps = column_map(grid)
+    maps = numbered_sheets(grid)
     # As many rows as sheets; Spark broadcasts it while it is small.
-    rows = grid.join(maps, SHEET).filter("row_idx > header_row").filter(F.exists("cells", lambda x: x.isNotNull() & (x != "")))
+    rows = readable(grid).join(maps, SHEET).filter("row_idx > header_row").filter(not_blank())
 
     def field(name: str) -> Column:
         return F.get("cells", F.col("mapping")[name])
@@ -60,7 +98,7 @@ def tickets(grid: DataFrame) -> DataFrame:
     out |= {name: clean(field(name)).alias(name) for name in ("client_raw", "address_raw")}
     out["ticket_id"] = F.when(F.col("mapping")["ticket_id"].isNotNull(), ticket_number(field("ticket_id"))).alias("ticket_id")
     out["date"] = date_text(field("date")).alias("date")
-    return rows.select(*out.values(), *SHEET, parse_date(field("date")).alias("event_ts"), F.col("row_idx").cast("long").alias("ingest_seq"))
+    return rows.select(*out.values(), *SHEET, parse_date(field("date")).alias("event_ts"), (F.shiftleft("sheet_no", 32) + F.col("row_idx")).alias("ingest_seq"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

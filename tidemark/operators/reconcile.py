@@ -6,14 +6,17 @@ before a join and so meet nothing. Ties go to the least ingest_seq.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.similarity import token_set_udf
-from tidemark.functions.text import address_fingerprint, clean, house_key, leads_with_form, norm_key, null_if_blank, point_key, safe_to_merge, split_point
+from tidemark.functions.text import address_fingerprint, clean, house_key, leads_with_form, norm_key, null_if_blank, point_key, safe_to_merge, split_point, token_set
 from tidemark.operators.aggregates import keep_first, mode_by
 from tidemark.schema import FLAG_FORM, FLAG_GUESSED, FLAG_SHARED, FLAG_TERRITORY
+from tidemark.sources.shared import cut_lineage
 
 MERGE_RATIO = 85
 FIELDS = ["client_normalized", "point_name", "address_normalized", "address_city"]
@@ -67,9 +70,15 @@ def clusters(pairs: pd.DataFrame) -> pd.DataFrame:
 def client_renames(df: DataFrame, threshold: int = MERGE_RATIO) -> DataFrame:
     """(name, canonical): names at one house that are similar and safe to merge become the fullest with a leading legal form."""
     names = df.select(address_fingerprint(address(), town()).alias("fp"), client().alias("name")).filter("fp <> '' and name <> ''").distinct()
-    a, b = names.select("fp", F.col("name").alias("a")), names.select("fp", F.col("name").alias("b"))
-    # An equi-join on the house; the native tests come first, the UDF sees what they leave.
-    near = a.join(b, "fp").filter("a < b").filter(safe_to_merge(F.col("a"), F.col("b")))
+    # Names that may merge share a word of four letters or more, or one of them has none (see safe_to_merge). So pairs meet
+    # at a house and such a word; the few names without one meet all names of their house.
+    words = names.withColumn("words", F.filter(token_set(F.col("name")), lambda w: F.length(w) >= 4))
+    each = words.select("fp", "name", F.explode("words").alias("w"))
+    pairs = each.select("fp", "w", F.col("name").alias("a")).join(each.select("fp", "w", F.col("name").alias("b")), ["fp", "w"]).filter("a < b").select("fp", "a", "b")
+    short = words.filter(F.size("words") == 0).select("fp", F.col("name").alias("s")).join(names, "fp").filter("s <> name")
+    pairs = pairs.unionByName(short.select("fp", F.least("s", "name").alias("a"), F.greatest("s", "name").alias("b"))).distinct()
+    # The native tests come first, the UDF sees what they leave.
+    near = pairs.filter(safe_to_merge(F.col("a"), F.col("b")))
     edges = near.withColumn("score", token_set_udf("a", "b")).filter(F.col("score") >= threshold)
     grouped = edges.groupBy("fp").applyInPandas(clusters, "fp string, name string, root string")
     fullest = F.struct(leads_with_form(F.col("name")).cast("int").alias("front"), F.length("name").alias("n"))
@@ -198,19 +207,56 @@ def flag_shared(df: DataFrame, qualifiers: dict[str, str]) -> DataFrame:
     return joined.withColumn("point_flags", flagged(F.col("shared_") & (client() != ""), FLAG_SHARED)).withColumn("point_flags", flagged(F.col("torn_"), FLAG_TERRITORY)).select(*df.columns)
 
 
-def reconcile(df: DataFrame, qualifiers: dict[str, str], default_city: str | None = None, cut: bool = True) -> DataFrame:
-    """All steps in their fixed order. With ``cut`` and a checkpoint folder the lineage is cut between them.
+def steps(qualifiers: dict[str, str], default_city: str | None) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The steps in their fixed order, by the names that the report uses."""
+    return [
+        ("client_merges", merge_clients),
+        ("role_swaps", swap_roles),
+        ("address_backfills", reconcile_addresses),
+        ("identity_backfills", backfill_identity),
+        ("default_cities", lambda d: reconcile_addresses(d, default_city)),
+        ("form_fills", lambda d: fill_forms(d, qualifiers)),
+        ("point_name_changes", reconcile_points),
+        ("canonical", canonicalise),
+        ("point_keys", add_point_key),
+        ("alerts", lambda d: flag_shared(d, qualifiers)),
+    ]
+
+
+def changes(before: DataFrame, after: DataFrame, step: str) -> DataFrame:
+    """(step, ingest_seq, column, old, new) of every field that differs; needs ingest_seq to be unique."""
+    pick = lambda d: d.select("ingest_seq", F.array(*[F.col(c) for c in FIELDS], F.array_join("point_flags", ", ")).alias("v"))
+    both = pick(before).alias("b").join(pick(after).alias("a"), "ingest_seq").filter("a.v <> b.v")
+    names = F.array(*[F.lit(c) for c in (*FIELDS, "point_flags")])
+    each = F.filter(F.arrays_zip(names.alias("column"), F.col("b.v").alias("old"), F.col("a.v").alias("new")), lambda x: x["old"] != x["new"])
+    return both.select(F.lit(step).alias("step"), "ingest_seq", F.explode(each).alias("c")).select("step", "ingest_seq", "c.column", "c.old", "c.new")
+
+
+def reconcile(df: DataFrame, qualifiers: dict[str, str], default_city: str | None = None) -> DataFrame:
+    """All steps in their fixed order; the lineage is cut between them.
 
     Each step reads its input several times; without a cut the last steps would repeat all before them.
     """
-    out = prepared(df)
-    steps = [merge_clients, swap_roles, reconcile_addresses, backfill_identity, lambda d: reconcile_addresses(d, default_city), lambda d: fill_forms(d, qualifiers), reconcile_points, canonicalise, add_point_key, lambda d: flag_shared(d, qualifiers)]
-    keep = cut and (df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir())
-    for step in steps:
-        out = step(out)
-        if keep and step is not add_point_key:
-            out = out.checkpoint()
-    return out
+    return reconcile_with_report(df, qualifiers, default_city)[0]
+
+
+def reconcile_with_report(df: DataFrame, qualifiers: dict[str, str], default_city: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The reconciled rows, and every change that a step made to them (see ``changes``), worked out only when it is read."""
+    out = cut_lineage(prepared(df))
+    report = None
+    for name, step in steps(qualifiers, default_city):
+        before, out = out, step(out)
+        if name == "point_keys":
+            continue
+        out = cut_lineage(out)
+        found = changes(before, out, name)
+        report = found if report is None else report.unionByName(found)
+    return out, report
+
+
+def report_counts(report: DataFrame) -> DataFrame:
+    """Changed values by step and column."""
+    return report.groupBy("step", "column").agg(F.count("*").alias("n"))
 
 
 def flags_text(df: DataFrame) -> DataFrame:

@@ -106,13 +106,20 @@ def dedup_keep_first(spark, sf_dir):
 # --- search and dates
 
 
-@query(f"""WITH {TICKETS_SQL}, found AS (SELECT * FROM tickets WHERE regexp_matches(client_normalized, 'customer#0*12[0-9]$', 'i'))
-SELECT count(*) AS tickets, max(date) AS last_date FROM found""")
+PREVIEW_SQL = """SELECT date AS "Date", client_normalized AS "Client", point_name AS "Point", address_normalized AS "Address", problem_normalized AS "Problem", status AS "Status", ticket_id AS "Ticket" """
+ONE_CLIENT = "regexp_matches(client_normalized, 'customer#0*12[0-9]$', 'i')"
+
+
+@query(f"""WITH {TICKETS_SQL}, found AS (SELECT * FROM tickets WHERE {ONE_CLIENT}),
+usual AS (SELECT problem_normalized AS p, count(*) AS n FROM found GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
+SELECT count(*) AS tickets, max(date) AS last_date, (SELECT string_agg(p || ' ' || n, '; ' ORDER BY n DESC, p) FROM usual) AS top_problems FROM found""")
 def search_client(spark, sf_dir):
-    return tools.search_client(tickets(spark, sf_dir), "customer#0*12[0-9]$").facts.select("tickets", "last_date")
+    return tools.search_client(tickets(spark, sf_dir), "customer#0*12[0-9]$").facts
 
 
-PREVIEW_SQL = """SELECT date AS "Date", client_normalized AS "Client", point_name AS "Point", address_normalized AS "Address", problem_normalized AS "Problem", status AS "Status", ticket_id AS "Ticket" """
+@query(f"WITH {TICKETS_SQL} {PREVIEW_SQL} FROM tickets WHERE {ONE_CLIENT}")
+def search_client_table(spark, sf_dir):
+    return tools.search_client(tickets(spark, sf_dir), "customer#0*12[0-9]$").table
 
 
 @query(f"WITH {TICKETS_SQL} {PREVIEW_SQL} FROM tickets WHERE regexp_matches(client_normalized, '00001', 'i') AND regexp_matches(address_normalized, 'УЛ. b', 'i')")
@@ -144,10 +151,11 @@ def consecutive_days(spark, sf_dir):
     return dates.longest_runs(read(spark, sf_dir, "events"), "ts", 5, ["user_id"])
 
 
-@query(f"WITH {ISLANDS} SELECT event_id, ts, e.user_id FROM events e, best b WHERE r = 1 AND b.user_id = 7 AND e.user_id = 7 AND ts >= first_day AND ts <= CAST(last_day + 1 AS TIMESTAMP)")
+@query("""WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), numbered AS (SELECT *, d - CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS g FROM days),
+runs AS (SELECT min(d) AS first_day, max(d) AS last_day, count(*) AS days FROM numbered GROUP BY g HAVING count(*) >= 5), best AS (SELECT * FROM runs ORDER BY days DESC, first_day LIMIT 1)
+SELECT event_id, ts, user_id FROM events, best WHERE ts >= first_day AND ts <= CAST(last_day + 1 AS TIMESTAMP)""")
 def rows_of_longest_run(spark, sf_dir):
-    own = read(spark, sf_dir, "events").filter("user_id = 7")
-    return dates.filter_by_date(own, consecutive_days=5, ts="ts").select("event_id", "ts", "user_id")
+    return dates.filter_by_date(read(spark, sf_dir, "events"), consecutive_days=5, ts="ts").select("event_id", "ts", "user_id")
 
 
 @query(f"WITH {ISLANDS} SELECT event_id, ts, e.user_id FROM events e JOIN best b ON b.user_id = e.user_id WHERE r = 1 AND ts >= first_day AND ts <= CAST(last_day + 1 AS TIMESTAMP)")
@@ -309,31 +317,102 @@ def qualifier_unify(spark, sf_dir):
     return normalize.unify_qualifiers(read(spark, sf_dir, "customer").select(k.cast("string").alias("key"), own.alias("client_qualifier")))
 
 
-def grid(spark, sf_dir, where="true"):
-    """Two sheets with headers (the second below a title, one word misspelt) and one without, over the orders."""
-    o = read(spark, sf_dir, "orders").filter(where)
+def grid(spark, sf_dir):
+    """Sheets over all orders: two with headers (the second below a title, one word misspelt), one without, and one that repeats
+    ids of the first with lower row numbers. Every tenth row is blank, and every tenth ends early."""
+    o = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    cells = F.array(k.cast("string"), F.date_format("o_orderdate", "dd.MM.yyyy HH:mm"), F.concat(F.lit(" client "), F.col("o_custkey").cast("string")), F.lit(""))
-    body = o.select(F.lit("book").alias("_table_name"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("_sheet_name"), (k + 5).cast("int").alias("row_idx"), cells.alias("cells"))
-    heads = [("book", "s0", 0, ["Номер", "Дата", "Контрагент", "Автор"]), ("book", "s1", 0, ["Отчёт"]), ("book", "s1", 2, ["Номер заявки", "Дата", "Контрогент", None]), ("book", "s2", 0, ["a", "b"])]
-    return spark.createDataFrame(heads, "_table_name string, _sheet_name string, row_idx int, cells array<string>").unionByName(body)
+    row = lambda client: F.array(k.cast("string"), F.date_format("o_orderdate", "dd.MM.yyyy HH:mm"), client, F.lit(""))
+    whole = row(F.concat(F.lit(" client "), F.col("o_custkey").cast("string")))
+    cells = F.when(k % 10 == 0, F.array(F.lit(""), F.lit(None).cast("string"))).when(k % 10 == 1, F.slice(whole, 1, 2)).otherwise(whole)
+    sheet = lambda name: [F.lit("book").alias("_table_name"), name.alias("_sheet_name")]
+    body = o.select(*sheet(F.concat(F.lit("s"), (k % 3).cast("string"))), (k + 5).cast("int").alias("row_idx"), cells.alias("cells"))
+    again = o.filter(k % 6 == 0).select(*sheet(F.lit("s3")), (k + 1).cast("int").alias("row_idx"), row(F.lit("other")).alias("cells"))
+    head = ["Номер", "Дата", "Контрагент", "Автор"]
+    heads = [("book", "s0", 0, head), ("book", "s1", 0, ["Отчёт"]), ("book", "s1", 2, ["Номер заявки", "Дата", "Контрогент", None]), ("book", "s2", 0, ["a", "b"]), ("book", "s3", 0, head)]
+    return spark.createDataFrame(heads, "_table_name string, _sheet_name string, row_idx int, cells array<string>").unionByName(body).unionByName(again)
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date, 'client ' || o_custkey AS client_raw, 's' || (o_orderkey % 3) AS _sheet_name FROM orders WHERE o_orderkey < 400 AND o_orderkey % 3 = 0
-UNION ALL SELECT NULL, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'client ' || o_custkey, 's1' FROM orders WHERE o_orderkey < 400 AND o_orderkey % 3 = 1""")
-def ingest_sheets(spark, sf_dir):
-    return ingest.tickets(grid(spark, sf_dir, "o_orderkey < 400")).select("ticket_id", "date", "client_raw", "_sheet_name")
+INGESTED = """ingested AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS ticket_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date,
+  CASE WHEN o_orderkey % 10 = 1 THEN '' ELSE 'client ' || o_custkey END AS client_raw, 's' || (o_orderkey % 3) AS _sheet_name FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 10 <> 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'other', 's3' FROM orders WHERE o_orderkey % 6 = 0)"""
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date, 'client ' || o_custkey AS client_raw, 's' || (o_orderkey % 3) AS _sheet_name FROM orders WHERE o_orderkey % 3 = 0
-UNION ALL SELECT NULL, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'client ' || o_custkey, 's1' FROM orders WHERE o_orderkey % 3 = 1""")
-def ingest_all_sheets(spark, sf_dir):
+@query(f"WITH {INGESTED} SELECT * FROM ingested")
+def ingest_sheets(spark, sf_dir):
     return ingest.tickets(grid(spark, sf_dir)).select("ticket_id", "date", "client_raw", "_sheet_name")
 
 
-@query()
+@query(f"WITH {INGESTED} SELECT ticket_id, client_raw, _sheet_name FROM ingested i WHERE NOT (_sheet_name = 's3' AND EXISTS (SELECT 1 FROM ingested j WHERE j.ticket_id = i.ticket_id AND j._sheet_name = 's0'))")
+def ingest_dedup_over_sheets(spark, sf_dir):
+    return reconcile.deduplicate(ingest.tickets(grid(spark, sf_dir))).select("ticket_id", "client_raw", "_sheet_name")
+
+
+@query(f"""WITH {INGESTED} SELECT CAST(1 AS BIGINT) AS tables, CAST(3 AS BIGINT) AS sheets, count(*) + (SELECT count(*) FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 10 = 0) AS rows_below_headers,
+(SELECT count(*) FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 10 = 0) AS rows_skipped, count(*) AS tickets, count(ticket_id) - count(DISTINCT ticket_id) AS duplicates, CAST(1 AS BIGINT) AS sheets_rejected FROM ingested""")
+def ingest_statistics(spark, sf_dir):
+    return ingest.statistics(grid(spark, sf_dir))
+
+
+@query("SELECT 'book' AS _table_name, 's2' AS _sheet_name, 'no header' AS reason")
+def rejected_sheets(spark, sf_dir):
+    return ingest.rejected_sheets(grid(spark, sf_dir))
+
+
+@query("""SELECT 'book' AS _table_name, * FROM (VALUES ('s0', 0, 'ticket_id', 0), ('s0', 0, 'date', 1), ('s0', 0, 'client_raw', 2), ('s0', 0, 'author', 3), ('s1', 2, 'date', 1), ('s1', 2, 'client_raw', 2),
+('s3', 0, 'ticket_id', 0), ('s3', 0, 'date', 1), ('s3', 0, 'client_raw', 2), ('s3', 0, 'author', 3)) t(_sheet_name, header_row, target, pos)""")
 def header_map(spark, sf_dir):
-    return ingest.column_map(grid(spark, sf_dir)).select("_table_name", "_sheet_name", "header_row", F.array_sort(F.map_entries("mapping")).alias("mapping"))
+    return ingest.column_map(grid(spark, sf_dir)).select("_table_name", "_sheet_name", "header_row", F.explode("mapping").alias("target", "pos"))
+
+
+def pairs_by_rules(items: list) -> dict:
+    """A provider without a model: the client as it is written, the address by its commas."""
+    out = {}
+    for client, address in items:
+        city, street, house = [p.strip() for p in (address + ",,").split(",")[:3]]
+        out[client, address] = {"client_normalized": client, "client_qualifier": "", "point_name": "", "city": city, "street": street, "house": house, "korpus": "", "apartment": ""}
+    return out
+
+
+@query("""WITH raw AS (SELECT DISTINCT 'ООО ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS c, n_name AS city FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT lower(c || '||' || city || ', Main St, 5') AS key, c AS client_normalized, '' AS point_name, city || ', Main St, 5' AS address_normalized, city FROM raw""")
+def normalised_pairs(spark, sf_dir):
+    customer, nation = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    client = F.concat(F.lit("ООО "), F.initcap("c_mktsegment"))
+    raw = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(client.alias("client_raw"), F.concat("n_name", F.lit(", Main St, 5")).alias("address_raw"))
+    none = spark.createDataFrame([], "key string")
+    found = normalize.normalise_pairs(normalize.distinct_pairs(raw), none, pairs_by_rules, {}, {}, "Home")
+    return found.select("key", "client_normalized", "point_name", "address_normalized", "city")
+
+
+def problems_by_rules(items: list) -> dict:
+    """A provider without a model: it loses one text, has no words for another, and repeats the rest."""
+    return {x: {"normalized": "" if x.startswith("PROMO") else x + "!", "tags": [] if x.startswith("PROMO") else ["Economy", "junk"]} for x in items if not x.startswith("SMALL")}
+
+
+def type_problems(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.lower("p_type"))
+    return normalize.distinct_problems(read(spark, sf_dir, "part").select(F.concat(kind, F.lit(" x")).alias("problem_raw")))
+
+
+@query("""SELECT lower(p_type) || ' x' AS key, CASE WHEN p_type = 'ECONOMY' THEN 'Economy' WHEN p_type = 'PROMO' THEN 'PROMO x' ELSE p_type || ' x!' END AS normalized,
+CASE WHEN p_type = 'PROMO' THEN 'unassigned' ELSE 'Economy' END AS tags FROM (SELECT DISTINCT p_type FROM part) WHERE p_type <> 'SMALL'""")
+def normalised_problems(spark, sf_dir):
+    none = spark.createDataFrame([], "key string")
+    found = normalize.normalise_problems(type_problems(spark, sf_dir), none, ["Economy"], problems_by_rules)
+    return found.withColumn("tags", F.array_join("tags", "|"))
+
+
+@query("""SELECT count(DISTINCT p_type) AS texts, count(DISTINCT p_type) FILTER (p_type = 'STANDARD') AS cache_hits, count(DISTINCT p_type) FILTER (p_type = 'ECONOMY') AS layer1_matches,
+count(DISTINCT p_type) FILTER (p_type NOT IN ('STANDARD', 'ECONOMY')) AS asked FROM part""")
+def layer_statistics(spark, sf_dir):
+    held = spark.createDataFrame([("standard x",)], "key string")
+    return normalize.layer_statistics(type_problems(spark, sf_dir), held, ["Economy"])
+
+
+@query(f"WITH {TAGS_SQL} SELECT problem_normalized, array_to_string(problem_tags, '|') AS problem_tags FROM tagged WHERE len(problem_tags) > 0 ORDER BY ingest_seq LIMIT 1")
+def tag_example(spark, sf_dir):
+    return sheets.tag_example(tagged(spark, sf_dir)).select("problem_normalized", F.array_join("problem_tags", "|").alias("problem_tags"))
 
 
 # --- reconciliation
@@ -390,18 +469,48 @@ def client_cluster(spark, sf_dir):
     return reconcile.client_renames(reconcile.prepared(messy(spark, sf_dir)))
 
 
-@query()
+SIGNS_SQL = f"""{MESSY_SQL}, rows_ AS (SELECT ingest_seq, CASE WHEN ingest_seq % 3 = 0 AND client_normalized <> '' THEN 'Sign ' || lower(client_normalized) ELSE client_normalized END AS c,
+  CASE WHEN ingest_seq % 3 = 0 OR client_normalized = '' THEN '' ELSE 'Sign ' || lower(client_normalized) END AS p FROM messy),
+freq AS (SELECT {NORM.format('c')} AS k, count(*) AS n FROM rows_ WHERE c <> '' GROUP BY 1),
+signs AS (SELECT p, arg_max(c, ingest_seq) AS owner FROM rows_ WHERE c <> '' AND p <> '' GROUP BY 1 HAVING count(DISTINCT {NORM.format('c')}) = 1),
+pairs AS (SELECT p, owner, {NORM.format('p')} AS sk, {NORM.format('owner')} AS ok FROM signs),
+decided AS (SELECT CASE WHEN s.n >= o.n THEN ok ELSE sk END AS k, CASE WHEN s.n >= o.n THEN p ELSE owner END AS winner, p FROM pairs JOIN freq s ON s.k = sk JOIN freq o ON o.k = ok WHERE sk <> ok),
+best AS (SELECT k, arg_max(winner, p) AS winner FROM decided GROUP BY 1)"""
+
+
+@query(f"""WITH {SIGNS_SQL} SELECT ingest_seq, coalesce(winner, c) AS client_normalized, CASE WHEN winner <> c AND p = '' THEN c ELSE p END AS point_name
+FROM rows_ LEFT JOIN best ON c <> '' AND k = {NORM.format('c')}""")
 def role_swap(spark, sf_dir):
-    rows = messy(spark, sf_dir).withColumn("client_normalized", F.when(F.col("ingest_seq") % 13 == 0, F.col("point_name")).otherwise(F.col("client_normalized")))
+    """Every third row of a client is under the sign that its other rows carry."""
+    c, third = F.col("client_normalized"), F.col("ingest_seq") % 3 == 0
+    named = F.concat(F.lit("Sign "), F.lower(c))
+    rows = messy(spark, sf_dir).withColumn("point_name", F.when(third | (c == ""), "").otherwise(named))
+    rows = rows.withColumn("client_normalized", F.when(third & (c != ""), named).otherwise(c))
     return reconcile.swap_roles(reconcile.prepared(rows)).select("ingest_seq", "client_normalized", "point_name")
 
 
-@query()
+@query(f"""WITH {MESSY_SQL}, f AS (SELECT ingest_seq, {HOUSE} AS house, {FP.format(REST)} AS fp FROM messy), full_ AS (SELECT house, bool_or(ingest_seq % 2 = 0) AS known FROM f WHERE fp <> '' GROUP BY 1)
+SELECT ingest_seq, CASE WHEN ingest_seq % 2 = 0 OR known THEN 'Home Building North' ELSE 'home' END AS client_normalized, CASE WHEN ingest_seq % 2 = 1 AND known THEN 'form filled' ELSE '' END AS point_flags
+FROM f LEFT JOIN full_ USING (house)""")
 def fill_forms(spark, sf_dir):
     rows = messy(spark, sf_dir).withColumn("client_normalized", F.when(F.col("ingest_seq") % 2 == 0, "Home Building North").otherwise("home"))
     return reconcile.flags_text(reconcile.fill_forms(reconcile.prepared(rows), QUALIFIERS)).select("ingest_seq", "client_normalized", "point_flags")
 
 
+@query(f"""WITH {MESSY_SQL}, f AS (SELECT ingest_seq, address_city, CASE WHEN ingest_seq % 4 = 0 THEN upper(address_normalized) ELSE address_normalized END AS address_normalized,
+  CASE WHEN client_normalized <> '' THEN client_normalized ELSE point_name END AS id FROM messy),
+g AS (SELECT *, {NORM.format('id')} || '|' || {NORM.format('address_city')} || '|' || {FP.format(REST)} AS k FROM f), pool AS (SELECT k, address_normalized AS v, ingest_seq AS s FROM g), {MODE_SQL}
+SELECT ingest_seq, v AS address_normalized FROM g JOIN mode_of USING (k)""")
+def canonical_addresses(spark, sf_dir):
+    rows = messy(spark, sf_dir).withColumn("address_normalized", F.when(F.col("ingest_seq") % 4 == 0, F.upper("address_normalized")).otherwise(F.col("address_normalized")))
+    return reconcile.canonicalise(reconcile.prepared(rows)).select("ingest_seq", "address_normalized")
+
+
+@query()
+def reconcile_report(spark, sf_dir):
+    return reconcile.report_counts(reconcile.reconcile_with_report(messy(spark, sf_dir), QUALIFIERS, "DEFAULT")[1])
+
+
 @query()
 def reconcile_all(spark, sf_dir):
     return reconcile.flags_text(reconcile.reconcile(messy(spark, sf_dir), QUALIFIERS, "DEFAULT"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tidemark.plans.tools import Result, Selector, digest_rows, execute_tool, extract_json
+from tidemark.plans.tools import Answer, Result, Selector, digest_rows, execute_tool, extract_json, format_answer
 from tidemark.sources.sheets import Tickets
 from tidemark.sources.store import QueryLog
 
@@ -18,8 +18,8 @@ TOP_PROBLEMS = ["проблем", "ошибок", "сбоев", "частые п
 PROBLEM_WORDS = ["проблем", "ошибк", "сканер", "касс", "егаис", "утм", "честный знак"]
 REPORTS = [("get_top_clients", TOP_CLIENTS), ("get_top_points", TOP_POINTS), ("get_top_problems", TOP_PROBLEMS)]
 # What stands before a client's and a point's name of up to three and four words.
-CLIENT = re.compile(r"(?:клиент[а]?|у|для)\s+(\S+(?:\s+\S+){0,2})")
-POINT = re.compile(r"(?:точк[аиеу]|магазин[ае]?)\s+(\S+(?:\s+\S+){0,3})")
+CLIENT = re.compile(r"(?:клиент[а]?|у|для)\s+([^\s]+(?:\s+[^\s]+){0,2})")
+POINT = re.compile(r"(?:точк[аиеу]|магазин[ае]?)\s+([^\s]+(?:\s+[^\s]+){0,3})")
 COUNT = re.compile(r"топ[-\s]*(\d+)")
 
 Chooser = Callable[[str], str]
@@ -69,6 +69,11 @@ class Engine:
             self.log.add("question", question, (call or {}).get("tool", ""), (call or {}).get("arguments"), told)
         return told, result
 
+    def answer(self, question: str, sheets: list[dict]) -> Answer:
+        """``ask`` as a reader gets it: facts and a numbered preview, or the words that say why there is none."""
+        told, result = self.ask(question, sheets)
+        return Answer("", told, self.tickets.sheets([])) if result is None else format_answer(result)
+
     def direct(self, question: str, df: DataFrame) -> str:
         if not self.analyse:
             return "No tool fits the question."

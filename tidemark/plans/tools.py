@@ -7,11 +7,11 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import filter_by_date
-from tidemark.operators.aggregates import counts, first_distinct, frequent_values, numbered, preview, top, with_items
+from tidemark.operators.aggregates import counts, first_distinct, frequent_values, numbered, numbered_by_ranges, preview, top, with_items
 from tidemark.schema import DASH
 
 PREVIEW = {"date": "Date", "client_normalized": "Client", "point_name": "Point", "address_normalized": "Address", "problem_normalized": "Problem", "status": "Status", "assignee": "Assignee", "ticket_id": "Ticket"}
@@ -29,6 +29,31 @@ class Result:
     figure: object = field(default=None)
 
 
+@dataclass
+class Answer:
+    """What a user reads: a line of facts, the words of an analyst if there are any, a numbered table of bounded size, a figure."""
+
+    summary: str
+    answer: str
+    preview_data: DataFrame
+    figure: object = None
+
+
+def format_answer(result: Result, answer: str = "", rows: int = 100) -> Answer:
+    """Runs the one-row summary of a tool's result and takes the first ``rows`` of its table, numbered as they come."""
+    said = [result.period] if result.period else []
+    if result.facts is not None:
+        facts_ = result.facts.first().asDict()
+        said = [f"tickets: {facts_['tickets']}", f"last on {facts_['last_date'] or DASH}", *said]
+        said += [f"{name.replace('_', ' ')}: {value}" for name, value in facts_.items() if name not in ("tickets", "last_date")]
+    table = result.table.limit(rows)
+    if "no" not in table.columns:
+        names = table.columns
+        table = table.select(F.monotonically_increasing_id().alias("at_"), "*").coalesce(1)
+        table = table.select(F.row_number().over(Window.orderBy("at_")).alias("no"), *names)
+    return Answer(", ".join(said), answer, table, result.figure)
+
+
 def contains(c: Column, pattern: str) -> Column:
     """Case-insensitive search by a regular expression; null doesn't match."""
     return F.coalesce(c.rlike(f"(?iu){pattern.strip()}"), F.lit(False))
@@ -61,7 +86,8 @@ def top_keys(df: DataFrame, key: str, n: int, min_tickets: int) -> DataFrame:
     """The largest keys with the first three point names of each; names are gathered for the keys of the report only."""
     best = top(counts(df, key), key, n, min_tickets)
     own = df.join(best.select(key), key, "left_semi") if n > 0 else df
-    return numbered(with_items(best, first_distinct(own, key, "point_name", 3, out="points"), key, "points").select(key, "points", "tickets"), F.desc("tickets"), F.asc(key))
+    rows = with_items(best, first_distinct(own, key, "point_name", 3, out="points"), key, "points").select(key, "points", "tickets")
+    return (numbered if n > 0 else numbered_by_ranges)(rows, F.desc("tickets"), F.asc(key))
 
 
 def get_top_clients(df: DataFrame, n: int = 20, min_tickets: int = 2) -> Result:
@@ -83,7 +109,10 @@ def get_top_problems(df: DataFrame, n: int = 20, min_tickets: int = 2) -> Result
 def search_client(df: DataFrame, client_name: str) -> Result:
     found = df.filter(contains(F.col("client_normalized"), client_name))
     usual = counts(found, "problem_normalized").orderBy(F.desc("tickets"), "problem_normalized").limit(5)
-    return Result(preview(found, PREVIEW), facts(found).join(usual.agg(F.array_sort(F.collect_list(F.struct(-F.col("tickets"), "problem_normalized"))).alias("top_problems")), F.lit(True)))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("tickets")).alias("n"), "problem_normalized")))
+    named = F.array_join(F.transform(listed, lambda x: F.concat(x["problem_normalized"], F.lit(" "), (-x["n"]).cast("string"))), "; ")
+    # Five rows at most, beside one.
+    return Result(preview(found, PREVIEW), facts(found).join(usual.agg(named.alias("top_problems")), F.lit(True)))
 
 
 def dated(found: DataFrame, as_of: str | None, **when) -> Result:

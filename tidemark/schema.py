@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# The columns of a ticket and their order.
 TEXT_COLUMNS = [
     "status", "date", "ticket_id", "event_group", "event_type", "client_raw", "client_normalized", "address_raw", "address_normalized", "address_city",
     "point_name", "problem_raw", "problem_normalized", "assignee", "author", "comment", "_table_name", "_sheet_name",

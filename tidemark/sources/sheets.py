@@ -89,6 +89,38 @@ def table_names(tables: DataFrame) -> DataFrame:
     return tables.select("_table_name").distinct().orderBy("_table_name")
 
 
+class Catalogue:
+    """The stored catalogue of sheets (see ``catalogue_of``): one small file, replaced as a whole."""
+
+    SCHEMA = "_table_name string, _sheet_name string, row_count long, has_data boolean, date_min string, date_max string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def save(self, catalogue: DataFrame) -> None:
+        # Held apart first: the new catalogue may be made from the old one.
+        rows = catalogue.select(*[c.split()[0] for c in self.SCHEMA.split(", ")]).collect()
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(self.path)
+
+    def load(self) -> DataFrame | None:
+        """The catalogue, or None if none was ever saved; columns that an older one lacks are null."""
+        store, root = filesystem(self.path)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if store.get_file_info(f"{root}/_SUCCESS").is_file else None
+
+    def clear(self) -> None:
+        self.save(self.spark.createDataFrame([], self.SCHEMA))
+
+    def update(self, tickets: DataFrame) -> None:
+        """Replace the entries of the sheets that ``tickets`` holds, keep the others."""
+        new, old = catalogue_of(tickets), self.load()
+        self.save(new if old is None else old.join(new, SHEET, "left_anti").unionByName(new.select(*old.columns)))
+
+    def sheets(self) -> list[dict]:
+        """All entries in order of their first date."""
+        found = self.load()
+        return [] if found is None else [r.asDict() for r in by_first_date(found).collect()]
+
+
 class Tickets:
     """The stored ticket table, partitioned by sheet so that a selection of sheets prunes files."""
 
@@ -118,6 +150,13 @@ def select_sheets(df: DataFrame, chosen: list[dict]) -> DataFrame:
     return df.filter(keep)
 
 
+def tag_example(df: DataFrame, seq: str = "ingest_seq") -> DataFrame:
+    """The first row that has tags, by its problem columns; no row where none has."""
+    columns = [c for c in ("problem_raw", "problem_normalized", "problem_tags") if c in df.columns]
+    tagged = df.filter(F.coalesce(F.size("problem_tags"), F.lit(0)) > 0)
+    return tagged.agg(F.min_by(F.struct(*columns), seq).alias("r")).filter("r is not null").select("r.*")
+
+
 def tag_report(df: DataFrame) -> DataFrame:
     """How many rows there are, how many have tags, and how many sheets they come from."""
     return df.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(F.size("problem_tags"), F.lit(0)) > 0).alias("tagged"), F.count_distinct(*SHEET).alias("sheets"))

@@ -56,6 +56,20 @@ def read_categories(path: str) -> list[tuple[str, str]]:
     return list(out.items())
 
 
+def category_names(categories: list[tuple[str, str]]) -> list[str]:
+    return [name for name, _ in categories]
+
+
+def category_description(categories: list[tuple[str, str]], name: str) -> str | None:
+    """The description of a category, None for a name that isn't listed."""
+    return dict(categories).get(name)
+
+
+def render_categories(categories: list[tuple[str, str]]) -> str:
+    """The closed list as a provider reads it, in its own order."""
+    return "\n".join(f"- {name}: {text}" if text else f"- {name}" for name, text in categories)
+
+
 @dataclass
 class Term:
     term: str
@@ -126,6 +140,10 @@ class QueryLog:
         row = (kind, question, tool, json.dumps(arguments or {}, ensure_ascii=False), summary, datetime.now(UTC))
         self.spark.createDataFrame([row], self.SCHEMA).withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(self.path)
 
+    def react(self, question: str, reaction: str, comment: str = "") -> None:
+        """What a reader thought of the answer to a question."""
+        self.add("reaction", question, summary=f"{reaction} {comment}".strip())
+
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
