@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import cut_lineage, shared_dir  # noqa: F401  operators take them from here
+
 #: Cut points are searched in levels of this many; three levels hold up to FAN ** 3 blocks.
 FAN = 64
 MAX_BLOCKS = FAN**3
@@ -16,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it; only a local session gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of ``df`` has it: for columns that live only inside an operator."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -56,12 +47,6 @@ def distinct_by(rows: DataFrame, key: str, broadcast_keys: int) -> DataFrame:
     return rows.join(known, key, "left_anti").unionByName(rows.join(known, key, "left_semi").dropDuplicates([key]))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lost executors don't lose it, and later plans start from its files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
