@@ -25,7 +25,7 @@ def clean(c: Column) -> Column:
 
 
 def null_if_blank(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def norm_key(c: Column) -> Column:
@@ -51,6 +51,11 @@ def house_key(address: Column, city: Column) -> Column:
     return F.concat(norm_key(city), F.lit("|"), address_fingerprint(address, city))
 
 
+def known_house(address: Column, city: Column) -> Column:
+    """``house_key``, null where the address has no fingerprint; the fingerprint, which is costly, is worked out once."""
+    return F.concat(norm_key(city), F.lit("|"), null_if_blank(address_fingerprint(address, city)))
+
+
 def token_set(c: Column) -> Column:
     """Distinct lower-case words of digits and Latin or Russian letters."""
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-zа-яё\s]", " "), r"\s+"), lambda x: x != ""))

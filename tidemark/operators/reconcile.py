@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.similarity import token_set_udf
-from tidemark.functions.text import address_fingerprint, clean, house_key, leads_with_form, norm_key, null_if_blank, point_key, safe_to_merge, split_point, token_set
+from tidemark.functions.text import address_fingerprint, clean, house_key, known_house, leads_with_form, legal_forms, norm_key, null_if_blank, point_key, split_point, token_set
 from tidemark.operators.aggregates import keep_first, mode_by
 from tidemark.schema import FLAG_FORM, FLAG_GUESSED, FLAG_SHARED, FLAG_TERRITORY
-from tidemark.sources.shared import cut_lineage
+from tidemark.sources.shared import cut_lineage, spread
 
 MERGE_RATIO = 85
 FIELDS = ["client_normalized", "point_name", "address_normalized", "address_city"]
@@ -70,15 +70,19 @@ def clusters(pairs: pd.DataFrame) -> pd.DataFrame:
 def client_renames(df: DataFrame, threshold: int = MERGE_RATIO) -> DataFrame:
     """(name, canonical): names at one house that are similar and safe to merge become the fullest with a leading legal form."""
     names = df.select(address_fingerprint(address(), town()).alias("fp"), client().alias("name")).filter("fp <> '' and name <> ''").distinct()
-    # Names that may merge share a word of four letters or more, or one of them has none (see safe_to_merge). So pairs meet
-    # at a house and such a word; the few names without one meet all names of their house.
-    words = names.withColumn("words", F.filter(token_set(F.col("name")), lambda w: F.length(w) >= 4))
-    each = words.select("fp", "name", F.explode("words").alias("w"))
-    pairs = each.select("fp", "w", F.col("name").alias("a")).join(each.select("fp", "w", F.col("name").alias("b")), ["fp", "w"]).filter("a < b").select("fp", "a", "b")
-    short = words.filter(F.size("words") == 0).select("fp", F.col("name").alias("s")).join(names, "fp").filter("s <> name")
-    pairs = pairs.unionByName(short.select("fp", F.least("s", "name").alias("a"), F.greatest("s", "name").alias("b"))).distinct()
+    names = cut_lineage(names)
+    forms, long = legal_forms(F.col("name")), F.filter(token_set(F.col("name")), lambda w: F.length(w) >= 4)
+    facts = names.withColumns({"forms": forms, "words": long, "n": F.length("name")})
+    # Of names that may merge, one has no long word of its own (see safe_to_merge): its longest one stands in the other, too. So
+    # each name meets at its house those that hold its longest word; the few names without long words meet all.
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    held = facts.select("fp", F.struct("name", "forms", "words", "n").alias("y"), F.explode("words").alias("w"))
+    one = facts.select("fp", F.struct("name", "forms", "words", "n").alias("x"), longest.alias("w"))
+    pairs = one.filter("w is not null").join(held, ["fp", "w"]).drop("w").unionByName(one.filter("w is null").drop("w").join(facts.select("fp", F.struct("name", "forms", "words", "n").alias("y")), "fp"))
+    x, y = F.col("x"), F.col("y")
+    safe = ~((F.size(x["forms"]) > 0) & (F.size(y["forms"]) > 0) & (x["forms"] != y["forms"])) & (F.least(x["n"], y["n"]) / F.greatest(x["n"], y["n"]) >= 0.5) & (F.size(F.array_except(x["words"], y["words"])) == 0)
     # The native tests come first, the UDF sees what they leave.
-    near = pairs.filter(safe_to_merge(F.col("a"), F.col("b")))
+    near = pairs.filter((x["name"] != y["name"]) & safe).select("fp", F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
     edges = near.withColumn("score", token_set_udf("a", "b")).filter(F.col("score") >= threshold)
     grouped = edges.groupBy("fp").applyInPandas(clusters, "fp string, name string, root string")
     fullest = F.struct(leads_with_form(F.col("name")).cast("int").alias("front"), F.length("name").alias("n"))
@@ -164,7 +168,7 @@ def fill_forms(df: DataFrame, qualifiers: dict[str, str]) -> DataFrame:
     """Where a house has one brand and one form, rows without the form get the usual full name; flagged."""
     if not qualifiers:
         return df
-    parts = df.withColumn("id_", identity()).withColumn("s_", split_point(F.col("id_"), qualifiers)).withColumn("house_", F.when((F.col("id_") != "") & (address_fingerprint(address(), town()) != ""), house_key(address(), town())))
+    parts = df.withColumn("id_", identity()).withColumn("s_", split_point(F.col("id_"), qualifiers)).withColumn("house_", F.when(F.col("id_") != "", known_house(address(), town())))
     eligible = parts.filter("house_ is not null").withColumn("brand_", norm_key(F.col("s_.brand"))).withColumn("form_", null_if_blank(F.col("s_.form")))
     houses = eligible.groupBy("house_").agg(F.count_distinct("brand_").alias("b"), F.count_distinct("form_").alias("f")).filter("b = 1 and f = 1").select("house_")
     full = mode_by(eligible.filter("form_ is not null"), ["house_"], "id_", out="full_").join(houses, "house_")
@@ -189,8 +193,9 @@ def canonicalise(df: DataFrame) -> DataFrame:
     out = df
     for column in ("client_normalized", "point_name"):
         out = out.withColumn("k_", F.when(F.col(column) != "", null_if_blank(norm_key(F.col(column))))).join(best, "k_", "left").withColumn(column, F.coalesce("best_", column)).select(*df.columns)
-    fp = address_fingerprint(address(), town())
-    return unify(out, "address_normalized", F.when(fp != "", F.concat_ws("|", norm_key(identity()), norm_key(town()), fp)))
+    # The key is costly and used twice.
+    keyed = spread(cut_lineage(out.withColumn("h_", F.concat(norm_key(identity()), F.lit("|"), known_house(address(), town())))))
+    return unify(keyed, "address_normalized", F.col("h_")).select(*df.columns)
 
 
 def add_point_key(df: DataFrame) -> DataFrame:
@@ -199,7 +204,7 @@ def add_point_key(df: DataFrame) -> DataFrame:
 
 def flag_shared(df: DataFrame, qualifiers: dict[str, str]) -> DataFrame:
     """Flags: one house and sign with several clients; one house, brand and form with several territories."""
-    keyed = df.withColumn("house_", F.when((address() != "") & (address_fingerprint(address(), town()) != "") & (sign() != ""), house_key(address(), town()))).withColumn("sign_", norm_key(sign())).withColumn("s_", split_point(sign(), qualifiers))
+    keyed = df.withColumn("house_", F.when((address() != "") & (sign() != ""), known_house(address(), town()))).withColumn("sign_", norm_key(sign())).withColumn("s_", split_point(sign(), qualifiers))
     shared = keyed.filter(F.col("house_").isNotNull() & (client() != "")).groupBy("house_", "sign_").agg(F.count_distinct("client_normalized").alias("n")).filter("n > 1").select("house_", "sign_", F.lit(True).alias("shared_"))
     marks = keyed.filter("house_ is not null").groupBy("house_").agg(F.count_distinct(norm_key(F.col("s_.brand"))).alias("b"), F.count_distinct("s_.form").alias("f"), F.count_distinct(null_if_blank(F.col("s_.territory"))).alias("t"))
     torn = marks.filter("b = 1 and f = 1 and t > 1").select("house_", F.lit(bool(qualifiers)).alias("torn_"))
@@ -242,13 +247,13 @@ def reconcile(df: DataFrame, qualifiers: dict[str, str], default_city: str | Non
 
 def reconcile_with_report(df: DataFrame, qualifiers: dict[str, str], default_city: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The reconciled rows, and every change that a step made to them (see ``changes``), worked out only when it is read."""
-    out = cut_lineage(prepared(df))
+    out = spread(cut_lineage(prepared(df)))
     report = None
     for name, step in steps(qualifiers, default_city):
         before, out = out, step(out)
         if name == "point_keys":
             continue
-        out = cut_lineage(out)
+        out = spread(cut_lineage(out))
         found = changes(before, out, name)
         report = found if report is None else report.unionByName(found)
     return out, report
