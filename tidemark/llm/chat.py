@@ -137,7 +137,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     (always those that aren't system, user or assistant, null ones among them), and empty messages go in between or at the
     end. ``rendered`` by ``place`` is the conversation's text; ``cost`` is the repair's, on each row of it. Null turns come
     first; turns of one number are ordered by a hash of role and text; repeated rows are turns of their own, null texts empty ones,
-    and null conversations are one. An empty table gives none.
+    and null conversations are one. Very long texts pass whole; other columns, whatever their names, are not read. An empty table gives none.
 
     Rows are range-partitioned by conversation and place, so that a long conversation goes over many tasks; these compute
     in two passes. In the first, each task gives the cost of every state to every state for the conversation that it

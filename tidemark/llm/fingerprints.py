@@ -127,7 +127,9 @@ def fingerprint_edits(docs: DataFrame, low: float = 0.002, high: float = 0.1, id
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text ends, for its last quarter, in the start of the next document in id order. Null texts are empty ones;
-    a single row is its own next. Equal texts have equal fingerprints. An empty table gives none.
+    a single row is its own next. Equal texts have equal fingerprints. Ids are numbers; rows that share one, missing ones
+    among them, lie in one block, which one task orders with their texts, spilling what it can't hold. Repeated rows each have a row; very long texts
+    are read whole; other columns, whatever their names, are not read. An empty table gives none.
     """
     words, n_words = lexicon(docs, low, high, text_col, fold)
     n = F.char_length("text")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Bounds of the labelled sample, parameters of ``learned``: rows of a language, characters of a row (a window at a hashed
 #: place), and languages; more languages are an error.
 SAMPLE_ROWS, ROW_CHARS, LANGUAGES = 256, 256, 200
+#: Shares in which a language's sample is cut down before it comes together.
+SHARES = 64
 #: Symbols parsed in one piece; pieces of all texts advance together, and phrases go on over their ends.
 PIECE = 512
 #: Symbols times languages that are parsed together.
@@ -33,9 +35,11 @@ def learned(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     named = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     h = F.xxhash64(F.lit(7), F.col(id_col))
     begin = F.pmod(h, F.greatest(F.lit(1), F.char_length(text_col) - chars + 1).cast("long")).cast("int") + 1
-    order = Window.partitionBy("lang").orderBy("h", "piece")
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "piece"))
     found = named.select(F.col(lang_col).alias("lang"), h.alias("h"), F.substring(F.col(text_col), begin, F.lit(chars)).alias("piece"))
-    sample = found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
+    # First within shares of a language, so that no task gets the samples of all tasks.
+    shares = found.withColumn("share", F.pmod("h", F.lit(SHARES))).withColumn("nth", least("lang", "share")).filter(F.col("nth") <= rows).drop("share")
+    sample = shares.withColumn("nth", least("lang")).filter(F.col("nth") <= rows)
     # The limit only bounds what the driver gets before it sees that there are too many.
     held = sample.limit(languages * rows + 1).collect()
     texts: dict[str, list[str]] = {}

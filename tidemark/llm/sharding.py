@@ -15,7 +15,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, row_overhead: int = 16, id
     global offset, and a running sum inside the block gives each row its own. A row goes to the shard in whose equal
     share of all bytes its middle lies, so a shard is off the equal size by one row's size at most. Null texts have no
     bytes and the CRC of an empty text; null ids come first; rows of equal id are ordered by CRC and size, and repeated
-    rows are interchangeable. An empty table gives none.
+    rows are interchangeable. Ids are numbers; rows that share one id, missing ones among them, lie in one block,
+    which one task orders (by id, CRC and size alone, without the texts). Very long texts count by their size; other columns,
+    whatever their names, are not read. An empty table gives none.
     """
     spark = docs.sparkSession
     # A few blocks for each task, so that tasks stay even however the blocks hash.
