@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import cut_lineage
 
-#: Rows of a tile's two sides, and queries that are multiplied at a time.
-BLOCK, QUERIES = 4096, 256
+#: Bytes of a tile's two sides (queries, candidates), and queries that are multiplied at a time. Candidates are copied once for each block
+#: of queries, so that side is the larger one.
+QUERY_BYTES, CANDIDATE_BYTES, QUERIES = 8 << 20, 2 << 20, 256
 #: Relative slack for the rounding of the bounds themselves.
 SLACK = 1e-9
 
@@ -82,13 +83,14 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query vector the ``k`` others of the largest inner product, exactly.
 
     Ties go to the smaller vec_id; a candidate of the query's own id isn't one. Unusable vectors (see ``usable``) and null
     ids take no part on either side. Of rows that repeat an id the one with the least vector stands for it. Vectors of
-    another dimension than the query's are no candidates of it. Every tile of ``block`` queries and ``block`` candidates is
-    one group; both sides are copied to the tiles they are in, and a group's size doesn't depend on the data.
+    another dimension than the query's are no candidates of it. Every tile of a block of queries and a block of candidates is
+    one group; both sides are copied to the tiles they are in, and a group's size, bounded in bytes (or by ``block`` rows a
+    side), doesn't depend on the data. Other columns, whatever their names, are not read; an empty table gives none.
     """
 
     def clean(df: DataFrame) -> DataFrame:
@@ -96,9 +98,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
         return rows.groupBy("id").agg(F.min("v").alias("v"))
 
     sides = []
-    for df in (vectors, queries):
+    for df, size in ((vectors, CANDIDATE_BYTES), (queries, QUERY_BYTES)):
         rows = cut_lineage(clean(df))
-        sides.append((rows, max(1, -(-rows.count() // block))))
+        held = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+        sides.append((rows, max(1, -(-held["n"] // (block or max(1, size // (8 * (held["dim"] or 1))))))))
     (cands, n_c), (asked, n_q) = sides
     number = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -127,5 +130,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
         return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
     # About a thousand queries in a group, each with k rows of every candidate block.
-    bucket = F.pmod(F.xxhash64(F.lit(3), F.col("query_id")), F.lit(max(1, 4 * n_q)))
+    bucket = F.pmod(F.xxhash64(F.lit(3), F.col("query_id")), F.lit(max(1, 16 * n_q)))
     return tiles.groupBy(bucket.alias("b")).applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
