@@ -228,12 +228,13 @@ def test_fingerprints_by_brute_force(docs):
         return f"{seed:016x}"[:8]
 
     got = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    assert {len(split(r.text)) <= 64 for r in rows[:60]} == {True, False}
     for r in rows[:60]:
-        hs = sorted(signed(h(w)) for w in split(r.text) & band)
+        hs, short = sorted(signed(h(w)) for w in split(r.text) & band), len(split(r.text)) <= 64
         cells = []
         for k in range(8):
-            for d in (16, 64, 256):
-                own = [x for x in hs if (x >> 8 * k) & 255 & (d - 1) == 0]
+            for d in (4, 16, 64, 256):
+                own = [x for x in hs if (x >> 8 * k) & 255 & (d - 1) == 0 and (d > 4 or short)]
                 cells.append(hash_all(own) if own else "-")
         if any(c != "-" for c in cells):
             assert got[r.doc_id].fingerprint == ".".join(cells)
@@ -241,6 +242,12 @@ def test_fingerprints_by_brute_force(docs):
     assert sum(a > b for a, b in near) > 0.9 * len(near)
 
 
+def test_fingerprints_of_short_texts_tell_their_edits(many):
+    few = {r.doc_id for r in many.filter(F.size(fingerprints.terms(F.col("text"))).between(1, 32)).collect()}
+    near = [(r.near_edited, r.near_next) for r in fingerprints.fingerprint_edits(many, fold=True).collect() if r.doc_id in few]
+    assert sum(a > b for a, b in near) > 0.8 * len(near)
+
+
 def test_fingerprints_shuffled_lexicon_and_empty(docs, none, monkeypatch):
     want = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_edits(docs).collect()}
     monkeypatch.setattr(fingerprints, "BROADCAST_TERMS", 0)

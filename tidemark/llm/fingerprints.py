@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import bind, block_of, cut_lineage, cut_points, shuffle_partitions
 
-#: A subset draws its terms by one byte of their hash; within it, three densities: every 16th, 64th and 256th term.
-SUBSETS, DENSITIES = 8, (16, 64, 256)
-#: A cell of the fingerprint whose subset has no term of the document.
+#: A subset draws its terms by one byte of their hash; within it, four densities: every 4th, 16th, 64th and 256th term.
+SUBSETS, DENSITIES = 8, (4, 16, 64, 256)
+#: The densest level is for texts of at most this many distinct terms only: the others' terms outside 1 in 16 are not shuffled.
+SHORT = 64
+#: A cell of the fingerprint whose subset has no term of the document, or whose level is not for its text.
 EMPTY = "-"
 #: A lexicon of more terms than this is joined by a shuffle instead of a broadcast (16 bytes a term).
 BROADCAST_TERMS = 2_000_000
@@ -58,13 +60,16 @@ def drawn(k: int, density: int) -> Callable[[Column], Column]:
     return lambda h: field(h, k).bitwiseAND(F.lit(density - 1)) == 0
 
 
-def cells(hashes: Column) -> Column:
-    """For each subset and density the hash of the sorted terms that fall into it."""
+def cells(hashes: Column, short: Column) -> Column:
+    """For each subset and density the hash of the sorted terms that fall into it; the densest level for short texts only."""
     none = F.xxhash64(F.array().cast("array<bigint>"))
     rarer = [lambda h, k, d=d: F.call_function("shiftrightunsigned", h, k * 8).bitwiseAND(F.lit(d - 1)) == 0 for d in DENSITIES]
 
+    def levels(a: Column, k: Column) -> Column:
+        return F.array(F.when(short, F.xxhash64(a)).otherwise(none), *[F.xxhash64(kept(a, k, r)) for r in rarer[1:]])
+
     def subset(own: Column) -> Callable[[Column], Column]:
-        return lambda k: bind(F.filter(own, lambda h: rarer[0](h, k)), lambda a: F.array(F.xxhash64(a), *[F.xxhash64(kept(a, k, r)) for r in rarer[1:]]))
+        return lambda k: bind(F.filter(own, lambda h: rarer[0](h, k)), lambda a: levels(a, k))
 
     def kept(a: Column, k: Column, test: Callable) -> Column:
         return F.filter(a, lambda h: test(h, k))
@@ -81,12 +86,17 @@ def fingerprint(rows: DataFrame, words: DataFrame, n_words: int, key: str, text_
     if n_words <= BROADCAST_TERMS:
         words = F.broadcast(words)
     version = F.explode(F.array(*[F.struct(F.lit(i).alias("v"), F.col(c).alias("x")) for i, c in enumerate(text_cols)]))
-    each = rows.select(key, version.alias("s")).select(key, "s.v", F.explode(terms(F.col("s.x"))).alias("t")).select(key, "v", F.xxhash64("t").alias("h"))
-    any_subset = F.lit(False)
+    held = rows.select(key, version.alias("s")).select(key, "s.v", terms(F.col("s.x")).alias("ts")).withColumn("short", F.size("ts") <= SHORT)
+    each = held.select(key, "v", "short", F.explode("ts").alias("t")).select(key, "v", "short", F.xxhash64("t").alias("h"))
+    wanted = F.col("short")
     for k in range(SUBSETS):
-        any_subset = any_subset | drawn(k, DENSITIES[0])(F.col("h"))
-    picked = each.filter(any_subset).join(words, "h").groupBy(key).agg(*[F.collect_set(F.when(F.col("v") == i, F.col("h"))).alias(f"{c}_cells") for i, c in enumerate(text_cols)])
-    return picked.select(key, *[cells(F.col(f"{c}_cells")).alias(f"{c}_cells") for c in text_cols])
+        wanted = wanted | drawn(k, DENSITIES[1])(F.col("h"))
+    sides = []
+    for i, c in enumerate(text_cols):
+        own = F.col("v") == i
+        sides += [F.collect_set(F.when(own, F.col("h"))).alias(f"{c}_cells"), F.bool_or(own & F.col("short")).alias(f"{c}_short")]
+    picked = each.filter(wanted).join(words, "h").groupBy(key).agg(*sides)
+    return picked.select(key, *[cells(F.col(f"{c}_cells"), F.col(f"{c}_short")).alias(f"{c}_cells") for c in text_cols])
 
 
 def likeness(a: Column, b: Column) -> Column:
