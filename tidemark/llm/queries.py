@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, fingerprints, langid, mixing, secret_scan, sentencepiece_codec, sharding, simhash, warc
+from tidemark.llm import ann, chat, fingerprints, langid, licenses, mixing, prefix_trie, secret_scan, sentencepiece_codec, sharding, simhash, warc, whitening
 from tidemark.llm._common import table
 
 
@@ -61,8 +61,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op11_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ranked(table(spark, sf_dir, "conversations"))
+    return prefix_trie.with_ends(*prefix_trie.prefix_trie(prefix_trie.rebuilt(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_shard_by_bytes, op4_format_chats, op5_imatch, op6_scan_secrets, op7_nearest, op8_simhash, op9_language, op10_warc)
+    f.__name__: f
+    for f in (op1_mix_sources, op2_sentencepiece, op3_shard_by_bytes, op4_format_chats, op5_imatch, op6_scan_secrets, op7_nearest, op8_simhash, op9_language, op10_warc, op11_scan_licenses, op12_whiten, op13_prefix_trie)
 }
 
 #: Means stay below 64 in these tables and no row shares id and text with another, so each count is one draw: the least k whose distribution function reaches the number.
@@ -96,4 +111,34 @@ SELECT h.page_id, CAST(octet_length(encode(h.html)) AS BIGINT) AS payload_bytes,
   strftime(TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(h.page_id // 1000), '%Y-%m-%dT%H:%M:%S.%f') || lpad(CAST(h.page_id % 1000 AS VARCHAR), 3, '0') || 'Z' AS captured
 FROM h LEFT JOIN f ON f.html = h.html"""
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op3_shard_by_bytes": SHARD_SQL, "op7_nearest": NEAREST_SQL, "op10_warc": WARC_SQL}
+CRC = """CASE WHEN {0} = '' THEN 0 ELSE xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(encode({0})) * 2 + 1), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(i + 1 - 2 * ((i + 1) % 2) AS INTEGER), 1) AS BIGINT))),
+    lambda c, x: xor(c >> 4, tab.t[CAST((xor(c, x) & 15) + 1 AS INTEGER)])), 4294967295) END"""
+
+#: Phrases only, as these tables hold no identifier tags. Words stand between two spaces each, so that neighbouring places share none.
+LICENSE_SQL = f"""WITH phrases(kind, phrase, label, level) AS (VALUES {", ".join(f"('{kind}', '  {p.replace(' ', '  ')}  ', '{label}', {licenses.restricts(label)}::DOUBLE)" for kind, held in (("base", licenses.BASE), ("notice", licenses.NOTICES)) for p, label in held.items())}),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+t AS (SELECT doc_id, len(words) AS n_words, '  ' || array_to_string(words, '    ') || '  ' AS held FROM w),
+t2 AS (SELECT doc_id, n_words, replace(held, '    ', '  ') AS one, held FROM t),
+hits AS (SELECT doc_id, kind, label, level, replace(phrase, '  ', '    ') AS p4 FROM t2 JOIN phrases ON contains(one, phrase)),
+places AS (SELECT doc_id, label, substr(p4, 3, length(p4) - 4) AS p, held FROM hits JOIN t2 USING (doc_id) WHERE kind = 'base'),
+counted AS (SELECT doc_id, (length(held) - length(replace(held, p, ''))) // length(p) AS n, (length(substr(held, 1, strpos(held, p) - 1)) - length(replace(substr(held, 1, strpos(held, p) - 1), ' ', ''))) // 4 AS first,
+  (length(held) - strpos(reverse(held), reverse(p)) - length(p) + 1) AS last_at, held FROM places),
+base AS (SELECT doc_id, sum(n) AS n_base, min(first) AS first_word, max((length(substr(held, 1, last_at)) - length(replace(substr(held, 1, last_at), ' ', ''))) // 4) AS last_word FROM counted GROUP BY 1),
+named AS (SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 'base'), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(level) AS score FROM hits GROUP BY 1)
+SELECT doc_id, n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM t LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+TRIE_SQL = f"""WITH bits AS (SELECT range AS i, list_reduce([CAST(range AS BIGINT), 1, 2, 3, 4], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) AS t FROM range(16)),
+tab AS (SELECT list(t ORDER BY i) AS t FROM bits),
+t AS (SELECT conv_id, list(coalesce(role, '') || chr(31) || coalesce(text, '') ORDER BY turn NULLS FIRST) AS turns FROM conversations GROUP BY 1),
+h AS (SELECT conv_id, turns, {CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t, tab),
+r AS (SELECT c.conv_id, list_concat(coalesce(list_slice(b.turns, 1, c.h), []), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns FROM h c LEFT JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 5),
+m AS (SELECT conv_id, len(turns) AS size, unnest(range(0, len(turns) + 1)) AS depth, list_transform(turns, lambda x: md5(x)) AS path, turns FROM r),
+n AS (SELECT list_slice(path, 1, depth) AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(turns[depth])) - strpos(turns[depth], chr(31)) END) AS bytes,
+  coalesce(sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = size)), sha256('')) AS ends_sha256 FROM m GROUP BY 1, 2),
+k AS (SELECT n.node, count(c.node) AS n_children FROM n LEFT JOIN n c ON c.depth = n.depth + 1 AND list_slice(c.node, 1, n.depth) = n.node GROUP BY 1),
+s AS (SELECT list_slice(node, 1, d) AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM (SELECT n.*, n_children, unnest(range(0, depth + 1)) AS d FROM n JOIN k ON n.node = k.node) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN k ON n.node = k.node JOIN s ON n.node = s.node LEFT JOIN n p ON n.depth > 0 AND p.node = list_slice(n.node, 1, n.depth - 1)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op3_shard_by_bytes": SHARD_SQL, "op7_nearest": NEAREST_SQL, "op10_warc": WARC_SQL, "op11_scan_licenses": LICENSE_SQL, "op13_prefix_trie": TRIE_SQL}
