@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import date_text, parse_date
 from tidemark.functions.similarity import ratio_udf
 from tidemark.functions.text import clean, ticket_number
+from tidemark.operators.aggregates import keep_first
+from tidemark.sources.sheets import Tickets
 
 # Header words and the columns they stand for.
 HEADERS = [
@@ -48,7 +50,7 @@ def readable(grid: DataFrame) -> DataFrame:
 
 
 def numbered_sheets(grid: DataFrame) -> DataFrame:
-    """``column_map`` with ``sheet_no``: the sheet's place in the order of tables and sheets. One row for each sheet."""
+    """``column_map`` of the first rows of sheets with ``sheet_no``: the sheet's place in the order of tables and sheets. One row for each sheet."""
     return column_map(readable(grid)).withColumn("sheet_no", F.row_number().over(Window.orderBy(*SHEET)).cast("long"))
 
 
@@ -56,12 +58,12 @@ def not_blank() -> Column:
     return F.exists("cells", lambda x: x.isNotNull() & (x != ""))
 
 
-def rejected_sheets(grid: DataFrame) -> DataFrame:
+def rejected_sheets(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """(_table_name, _sheet_name, reason) of sheets that give no tickets: those that couldn't be read, with the error, and those without a header.
 
     A sheet that breaks off keeps the tickets before the break, and is listed.
     """
-    none = readable(grid).select(*SHEET).distinct().join(column_map(readable(grid)).select(*SHEET), SHEET, "left_anti").withColumn("reason", F.lit("no header"))
+    none = readable(grid).select(*SHEET).distinct().join(column_map(readable(grid if heads is None else heads)).select(*SHEET), SHEET, "left_anti").withColumn("reason", F.lit("no header"))
     if "error" not in grid.columns:
         return none
     broken = grid.filter("error is not null").groupBy(*SHEET).agg(F.min("error").alias("reason"))
@@ -80,15 +82,20 @@ def statistics(grid: DataFrame) -> DataFrame:
     return read.join(again, F.lit(True)).join(rejected_sheets(grid).agg(F.count("*").alias("sheets_rejected")), F.lit(True))
 
 
-def tickets(grid: DataFrame) -> DataFrame:
+def tickets(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Typed tickets of all sheets with a header, from the rows below it; blank rows and sheets without a header go.
 
     ``grid``: _table_name, _sheet_name, row_idx, cells and, from ``read_grid``, error (see ``rejected_sheets``). ingest_seq is the
-    row's place in the order of tables, sheets and rows; it orders ties over all sheets.
+    row's place in the order of tables, sheets and rows; it orders ties over all sheets. ``heads`` are the first HEADER_ROWS rows of each sheet, if
+    the source can read these alone (``read_grid(..., rows=HEADER_ROWS)``): else they are filtered out of a second reading of the grid.
     """
-    maps = numbered_sheets(grid)
+    maps = numbered_sheets(grid if heads is None else heads)
     # As many rows as sheets; Spark broadcasts it while it is small.
-    rows = readable(grid).join(maps, SHEET).filter("row_idx > header_row").filter(not_blank())
+    return typed(readable(grid).join(maps, SHEET).filter("row_idx > header_row").filter(not_blank()))
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """Tickets of grid rows beside ``mapping`` and ``sheet_no`` of their sheet (see ``numbered_sheets``)."""
 
     def field(name: str) -> Column:
         return F.get("cells", F.col("mapping")[name])
@@ -101,6 +108,30 @@ def tickets(grid: DataFrame) -> DataFrame:
     return rows.select(*out.values(), *SHEET, parse_date(field("date")).alias("event_ts"), (F.shiftleft("sheet_no", 32) + F.col("row_idx")).alias("ingest_seq"))
 
 
+def stored(grid: DataFrame, table: Tickets, heads: DataFrame | None = None) -> dict[str, int]:
+    """Write the tickets of all sheets, one of each id, to ``table``; the figures of ``statistics``, counted by the write itself.
+
+    They are observed where rows pass on their way to the table, so nothing is read again for them; what the driver gets besides is the names of
+    the sheets. Lost executors: rows of a stage that runs again after it had finished count again (the table holds them once).
+    """
+    maps = numbered_sheets(grid if heads is None else heads)
+    errors = F.col("error").isNotNull() if "error" in grid.columns else F.lit(False)
+    rows = grid.withColumn("broken_", errors).join(maps, SHEET, "left")
+    below = ~F.col("broken_") & F.coalesce(F.col("row_idx") > F.col("header_row"), F.lit(False))
+    sheet, read, named, kept = F.struct(*SHEET), Observation(), Observation(), Observation()
+    sets = {"held_": below, "lost_": F.col("broken_"), "bare_": ~F.col("broken_") & F.col("header_row").isNull()}
+    rows = rows.observe(read, F.count_if(below).alias("rows_below_headers"), F.count_if(below & ~not_blank()).alias("rows_skipped"), *[F.collect_set(F.when(c, sheet)).alias(n) for n, c in sets.items()])
+    has_id = F.count_if(F.trim(F.coalesce("ticket_id", F.lit(""))) != "").alias("n")
+    all_ = typed(rows.filter(below & not_blank())).observe(named, has_id, F.count("*").alias("tickets"))
+    table.write(keep_first(all_, "ticket_id", ["ingest_seq"]).observe(kept, has_id))
+    seen, before = read.get, named.get
+    names = {n: {tuple(x) for x in seen[n]} for n in sets}
+    return {
+        "tables": len({t for t, _ in names["held_"]}), "sheets": len(names["held_"]), "rows_below_headers": seen["rows_below_headers"], "rows_skipped": seen["rows_skipped"],
+        "tickets": before["tickets"], "duplicates": before["n"] - kept.get["n"], "sheets_rejected": len(names["lost_"] | names["bare_"]),
+    }
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

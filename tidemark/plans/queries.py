@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from tidemark.plans import tools
 from tidemark.plans.views import MESSY_SQL, TAGS_SQL, TICKETS_SQL, messy, read, tagged, tickets
 from tidemark.schema import UNASSIGNED
 from tidemark.sources import sheets
+from tidemark.sources.shared import shared_dir
+from tidemark.streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -333,6 +336,11 @@ def grid(spark, sf_dir):
     return spark.createDataFrame(heads, "_table_name string, _sheet_name string, row_idx int, cells array<string>").unionByName(body).unionByName(again)
 
 
+def scratch(spark, name):
+    """A new folder that all executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 INGESTED = """ingested AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS ticket_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date,
   CASE WHEN o_orderkey % 10 = 1 THEN '' ELSE 'client ' || o_custkey END AS client_raw, 's' || (o_orderkey % 3) AS _sheet_name FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 10 <> 0
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'other', 's3' FROM orders WHERE o_orderkey % 6 = 0)"""
@@ -351,14 +359,52 @@ def ingest_dedup_over_sheets(spark, sf_dir):
 @query(f"""WITH {INGESTED} SELECT CAST(1 AS BIGINT) AS tables, CAST(3 AS BIGINT) AS sheets, count(*) + (SELECT count(*) FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 10 = 0) AS rows_below_headers,
 (SELECT count(*) FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 10 = 0) AS rows_skipped, count(*) AS tickets, count(ticket_id) - count(DISTINCT ticket_id) AS duplicates, CAST(1 AS BIGINT) AS sheets_rejected FROM ingested""")
 def ingest_statistics(spark, sf_dir):
-    return ingest.statistics(grid(spark, sf_dir))
+    """Counted by the write that stores the tickets."""
+    found = ingest.stored(grid(spark, sf_dir), sheets.Tickets(spark, scratch(spark, "ingested")))
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{name} long" for name in found))
 
 
-@query("SELECT 'book' AS _table_name, 's2' AS _sheet_name, 'no header' AS reason")
+@query("SELECT 'book' AS _table_name, 's2' AS _sheet_name, 'no header' AS reason FROM orders WHERE o_orderkey % 3 = 2 HAVING count(*) > 0")
 def rejected_sheets(spark, sf_dir):
     return ingest.rejected_sheets(grid(spark, sf_dir))
 
 
+@query(f"WITH {INGESTED} SELECT * FROM ingested WHERE _sheet_name IN ('s0', 's3')")
+def sheets_read_back(spark, sf_dir):
+    """Orders written as sheets; of these two are chosen, so that the source opens no others."""
+    folder = scratch(spark, "sheets")
+    sheets.write_sheets(grid(spark, sf_dir), folder)
+    chosen = [{"table_name": "book", "sheet_name": name} for name in ("s0", "s3")]
+    heads = sheets.read_grid(spark, folder, chosen, ingest.HEADER_ROWS)
+    return ingest.tickets(sheets.read_grid(spark, folder, chosen), heads).select("ticket_id", "date", "client_raw", "_sheet_name")
+
+
+@query(f"""WITH {INGESTED}, now_ AS (SELECT * FROM ingested WHERE (_sheet_name = 's0' AND CAST(ticket_id AS BIGINT) % 4 = 0) OR _sheet_name = 's3')
+SELECT ticket_id, client_raw, _sheet_name FROM now_ i WHERE NOT (_sheet_name = 's3' AND EXISTS (SELECT 1 FROM now_ j WHERE j.ticket_id = i.ticket_id AND j._sheet_name = 's0'))""")
+def incremental_refresh(spark, sf_dir):
+    """A table that follows its sheets: after a first refresh one sheet changes, one goes and one comes; the second refresh reads only these."""
+    folder, rows = scratch(spark, "sheets"), grid(spark, sf_dir)
+    table, seen = sheets.Tickets(spark, scratch(spark, "table")), scratch(spark, "seen")
+    sheets.write_sheets(rows.filter("_sheet_name <> 's3'"), folder)
+    refresh.refresh(spark, folder, table, seen)
+    sheets.write_sheets(rows.filter("_sheet_name = 's3' or _sheet_name = 's0' and (row_idx = 0 or (row_idx - 5) % 4 = 0)"), folder)
+    sheets.remove_sheet(folder, "book", "s1")
+    refresh.refresh(spark, folder, table, seen)
+    return reconcile.deduplicate(table.in_order()).select("ticket_id", "client_raw", "_sheet_name")
+
+
+@query(f"WITH {TICKETS_SQL} SELECT ticket_id, CASE WHEN _sheet_name = 'F' AND _table_name = 'odd' THEN 'again ' || status ELSE status END AS status, _table_name, _sheet_name FROM tickets")
+def rewritten_table(spark, sf_dir):
+    """A stored table rewritten from itself, and then one of its sheets."""
+    table = sheets.Tickets(spark, scratch(spark, "table"))
+    table.write(tickets(spark, sf_dir))
+    table.write(table.all().withColumn("status", F.concat(F.lit("again "), "status")))
+    of_sheet = (F.col("_table_name") == "odd") & (F.col("_sheet_name") == "F")
+    others = table.catalogue().filter(~of_sheet).select(*sheets.SHEET).collect()
+    table.refresh(table.all().filter(~of_sheet).withColumn("status", F.substring("status", 7, 100)), [tuple(r) for r in others])
+    return table.all().select("ticket_id", "status", *sheets.SHEET)
+
+
 @query("""SELECT 'book' AS _table_name, * FROM (VALUES ('s0', 0, 'ticket_id', 0), ('s0', 0, 'date', 1), ('s0', 0, 'client_raw', 2), ('s0', 0, 'author', 3), ('s1', 2, 'date', 1), ('s1', 2, 'client_raw', 2),
 ('s3', 0, 'ticket_id', 0), ('s3', 0, 'date', 1), ('s3', 0, 'client_raw', 2), ('s3', 0, 'author', 3)) t(_sheet_name, header_row, target, pos)""")
 def header_map(spark, sf_dir):

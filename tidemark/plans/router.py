@@ -48,6 +48,10 @@ def by_provider(question: str, choose: Chooser | None) -> dict | None:
     return {"tool": call["tool"], "arguments": call.get("arguments") or {}} if isinstance(call, dict) and call.get("tool") else None
 
 
+def failed(e: Exception) -> str:
+    return f"The question could not be answered ({e if isinstance(e, ValueError) else type(e).__name__})."
+
+
 class Engine:
     """Answers questions over selected sheets of a stored ticket table."""
 
@@ -56,23 +60,44 @@ class Engine:
 
     def ask(self, question: str, sheets: list[dict]) -> tuple[str, Result | None]:
         """The tool's name and result; without a fitting tool the analyst's words, if there is one. Errors give a message."""
-        df = self.tickets.sheets(sheets)
+        told, result, call = self._call(question, sheets)
+        self._note(question, told, call)
+        return told, result
+
+    def answer(self, question: str, sheets: list[dict]) -> Answer:
+        """``ask`` as a reader gets it: facts and a numbered preview, or the words that say why there is none.
+
+        Results are lazy, so this is where they run; what fails then gives a message, too, and the log has it.
+        """
+        told, result, call = self._call(question, sheets)
+        if result is not None:
+            try:
+                out = format_answer(result)
+                out.preview_data = self._held(out.preview_data)
+            except Exception as e:  # noqa: BLE001
+                told, result = failed(e), None
+        self._note(question, told, call)
+        return Answer("", told, self.tickets.sheets([])) if result is None else out
+
+    def _call(self, question: str, sheets: list[dict]) -> tuple[str, Result | None, dict | None]:
+        call = None
         try:
+            df = self.tickets.sheets(sheets)
             call = by_provider(question, self.choose) or by_keywords(question)
             if call is None:
-                told, result = self.direct(question, df), None
-            else:
-                told, result = call["tool"], execute_tool(call["tool"], call["arguments"], df, self.select)
+                return self.direct(question, df), None, None
+            return call["tool"], execute_tool(call["tool"], call["arguments"], df, self.select), call
         except Exception as e:  # noqa: BLE001
-            told, result, call = f"The question could not be answered ({type(e).__name__}).", None, None
+            return failed(e), None, call
+
+    def _note(self, question: str, told: str, call: dict | None) -> None:
         if self.log:
             self.log.add("question", question, (call or {}).get("tool", ""), (call or {}).get("arguments"), told)
-        return told, result
 
-    def answer(self, question: str, sheets: list[dict]) -> Answer:
-        """``ask`` as a reader gets it: facts and a numbered preview, or the words that say why there is none."""
-        told, result = self.ask(question, sheets)
-        return Answer("", told, self.tickets.sheets([])) if result is None else format_answer(result)
+    @staticmethod
+    def _held(preview: DataFrame) -> DataFrame:
+        """The preview, at most a hundred rows, as it is now."""
+        return preview.sparkSession.createDataFrame(preview.collect(), preview.schema)
 
     def direct(self, question: str, df: DataFrame) -> str:
         if not self.analyse:

@@ -7,7 +7,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import filter_by_date
@@ -54,9 +55,18 @@ def format_answer(result: Result, answer: str = "", rows: int = 100) -> Answer:
     return Answer(", ".join(said), answer, table, result.figure)
 
 
+def valid(pattern: str) -> str:
+    """The pattern, or a ValueError now instead of a failed job later: plans are lazy."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
+        raise ValueError(f"not a regular expression: {str(e).splitlines()[0]}") from None
+    return pattern
+
+
 def contains(c: Column, pattern: str) -> Column:
     """Case-insensitive search by a regular expression; null doesn't match."""
-    return F.coalesce(c.rlike(f"(?iu){pattern.strip()}"), F.lit(False))
+    return F.coalesce(c.rlike(valid(f"(?iu){pattern.strip()}")), F.lit(False))
 
 
 def two_part(pattern: str, client: Column, address: Column, key: Column) -> Column:

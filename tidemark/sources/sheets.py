@@ -7,20 +7,27 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tidemark.sources.versions import Versions
+
+REMOVED = "removed"
 GRID = "_table_name string, _sheet_name string, row_idx int, cells array<string>, error string"
 SHEET = ["_table_name", "_sheet_name"]
 
 
 class SheetPart(InputPartition):
-    def __init__(self, table: str, sheet: str, path: str):
-        self.table, self.sheet, self.path = table, sheet, path
+    def __init__(self, table: str, sheet: str, path: str, removed: bool = False):
+        self.table, self.sheet, self.path, self.removed = table, sheet, path, removed
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -28,34 +35,70 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def list_sheets(folder: str, page: int = 1000) -> Iterator[list[dict]]:
-    """Pages of {table, sheet, path}, in order; a folder that can't be listed ends the list."""
+    """Pages of {table, sheet, path, stamp}, in order; a folder that can't be listed ends the list. ``stamp`` is time and size."""
     try:
         store, root = filesystem(folder)
-        found = sorted(i.path for i in store.get_file_info(pafs.FileSelector(root, recursive=True)) if i.path.endswith(".csv"))
+        found = sorted((i.path, f"{i.mtime_ns}:{i.size}") for i in store.get_file_info(pafs.FileSelector(root, recursive=True)) if i.path.endswith(".csv"))
     except OSError:
         return
     for a in range(0, len(found), page):
-        yield [{"table": p.split("/")[-2], "sheet": p.split("/")[-1][:-4], "path": p} for p in found[a : a + page]]
+        yield [{"table": p.split("/")[-2], "sheet": p.split("/")[-1][:-4], "path": p, "stamp": stamp} for p, stamp in found[a : a + page]]
+
+
+def read_sheet(folder: str, part: SheetPart, rows: int | None = None) -> Iterator[tuple]:
+    """The first ``rows`` rows of a sheet, or all. An error ends it, with a row that tells it; so does that the sheet is gone."""
+    if part.removed:
+        yield (part.table, part.sheet, None, None, REMOVED)
+    if not part.path or part.removed:
+        return
+    try:
+        store, _ = filesystem(folder)
+        with store.open_input_stream(part.path) as f:
+            text = io.TextIOWrapper(f, encoding="utf-8", newline="")
+            for i, row in enumerate(islice(csv.reader(text), rows)):
+                yield (part.table, part.sheet, i, row, None)
+    except (OSError, UnicodeDecodeError, csv.Error) as e:
+        yield (part.table, part.sheet, None, None, str(e)[:500])
 
 
 class SheetReader(DataSourceReader):
+    """Sheets that aren't chosen are not opened, and a bound on rows ends a sheet early.
+
+    Both are options of the source. The filters that Spark can push to a Python source are not taken: it keeps them with the loaded
+    relation, where another use of the same frame meets them.
+    """
+
+    def __init__(self, folder: str, chosen: list[list[str]] | None = None, rows: int | None = None):
+        self.folder, self.rows = folder, rows
+        self.chosen = None if chosen is None else {tuple(c) for c in chosen}
+
+    def partitions(self) -> list[InputPartition]:
+        found = (s for page in list_sheets(self.folder) for s in page)
+        return [SheetPart(s["table"], s["sheet"], s["path"]) for s in found if self.chosen is None or (s["table"], s["sheet"]) in self.chosen] or [SheetPart("", "", "")]
+
+    def read(self, part: SheetPart) -> Iterator[tuple]:
+        return read_sheet(self.folder, part, self.rows)
+
+
+class SheetStream(DataSourceStreamReader):
+    """Sheets that are new, changed or gone since the last batch. An offset has time and size of each sheet: one entry a sheet."""
+
     def __init__(self, folder: str):
         self.folder = folder
 
-    def partitions(self) -> list[InputPartition]:
-        return [SheetPart(s["table"], s["sheet"], s["path"]) for page in list_sheets(self.folder) for s in page] or [SheetPart("", "", "")]
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {json.dumps([s["table"], s["sheet"], s["path"]], ensure_ascii=False): s["stamp"] for page in list_sheets(self.folder) for s in page}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        changed = [SheetPart(*json.loads(k)) for k, stamp in end.items() if start.get(k) != stamp]
+        gone = [SheetPart(*json.loads(k), removed=True) for k in start if k not in end]
+        return changed + gone or [SheetPart("", "", "")]
 
     def read(self, part: SheetPart) -> Iterator[tuple]:
-        if not part.path:
-            return
-        try:
-            store, _ = filesystem(self.folder)
-            with store.open_input_stream(part.path) as f:
-                text = io.TextIOWrapper(f, encoding="utf-8", newline="")
-                for i, row in enumerate(csv.reader(text)):
-                    yield (part.table, part.sheet, i, row, None)
-        except (OSError, UnicodeDecodeError, csv.Error) as e:
-            yield (part.table, part.sheet, None, None, str(e)[:500])
+        return read_sheet(self.folder, part)
 
 
 class SheetSource(DataSource):
@@ -67,12 +110,68 @@ class SheetSource(DataSource):
         return GRID
 
     def reader(self, schema) -> DataSourceReader:
-        return SheetReader(self.options["path"])
+        return SheetReader(self.options["path"], json.loads(self.options.get("chosen", "null")), json.loads(self.options.get("rows", "null")))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return SheetStream(self.options["path"])
 
 
-def read_grid(spark: SparkSession, folder: str) -> DataFrame:
+def registered(spark: SparkSession) -> SparkSession:
     spark.dataSource.register(SheetSource)
-    return spark.read.format("sheets").load(folder)
+    return spark
+
+
+def read_grid(spark: SparkSession, folder: str, chosen: list[dict] | None = None, rows: int | None = None) -> DataFrame:
+    """All sheets as one grid, or the ``chosen`` ones (see ``select_sheets``), of which no others are opened, or the first ``rows`` rows of each."""
+    source = registered(spark).read.format("sheets")
+    if chosen is not None:
+        source = source.option("chosen", json.dumps(chosen_pairs(chosen), ensure_ascii=False))
+    return source.option("rows", json.dumps(rows)).load(folder)
+
+
+def write_sheets(grid: DataFrame, folder: str) -> int:
+    """A grid as sheets, each from one task, which streams its rows and renames the finished file; how many sheets there are.
+
+    Rows lie where row_idx puts them, with blank lines between; null cells are empty ones. Files of sheets that the grid lacks stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, root = filesystem(folder)
+        last, out, close, at, names = None, None, None, 0, []
+        for b in batches:
+            for table, sheet, i, cells in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
+                if (table, sheet) != last:
+                    if out:
+                        close()
+                    last, at = (table, sheet), 0
+                    names.append(sheet)
+                    store.create_dir(f"{root}/{table}", recursive=True)
+                    target = f"{root}/{table}/{sheet}"
+                    attempt = TaskContext.get().taskAttemptId()
+                    raw = store.open_output_stream(f"{target}.{attempt}.tmp")
+                    out = io.TextIOWrapper(raw, encoding="utf-8", newline="")
+                    writer = csv.writer(out)
+
+                    def close(out=out, target=target, attempt=attempt) -> None:
+                        out.close()
+                        store.move(f"{target}.{attempt}.tmp", f"{target}.csv")
+
+                out.write("\r\n" * (i - at))
+                writer.writerow(["" if c is None else c for c in cells or []])
+                at = i + 1
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["n"])
+
+    rows = grid.select(*SHEET, "row_idx", "cells").repartition(*SHEET).sortWithinPartitions(*SHEET, "row_idx")
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def remove_sheet(folder: str, table: str, sheet: str) -> None:
+    store, root = filesystem(folder)
+    store.delete_file(f"{root}/{table}/{sheet}.csv")
 
 
 def catalogue_of(tables: DataFrame) -> DataFrame:
@@ -90,22 +189,22 @@ def table_names(tables: DataFrame) -> DataFrame:
 
 
 class Catalogue:
-    """The stored catalogue of sheets (see ``catalogue_of``): one small file, replaced as a whole."""
+    """The stored catalogue of sheets (see ``catalogue_of``): one entry a sheet, replaced as a whole in one step."""
 
     SCHEMA = "_table_name string, _sheet_name string, row_count long, has_data boolean, date_min string, date_max string"
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.versions = spark, Versions(spark, path)
 
     def save(self, catalogue: DataFrame) -> None:
-        # Held apart first: the new catalogue may be made from the old one.
-        rows = catalogue.select(*[c.split()[0] for c in self.SCHEMA.split(", ")]).collect()
-        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(self.path)
+        number, _ = self.versions.read()
+        rows = [list(r) for r in catalogue.select(*[c.split()[0] for c in self.SCHEMA.split(", ")]).collect()]
+        self.versions.commit(number, {"rows": rows})
 
     def load(self) -> DataFrame | None:
-        """The catalogue, or None if none was ever saved; columns that an older one lacks are null."""
-        store, root = filesystem(self.path)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if store.get_file_info(f"{root}/_SUCCESS").is_file else None
+        """The catalogue, or None if none was ever saved."""
+        number, content = self.versions.read()
+        return self.spark.createDataFrame([tuple(r) for r in content["rows"]], self.SCHEMA) if number else None
 
     def clear(self) -> None:
         self.save(self.spark.createDataFrame([], self.SCHEMA))
@@ -122,34 +221,103 @@ class Catalogue:
 
 
 class Tickets:
-    """The stored ticket table, partitioned by sheet so that a selection of sheets prunes files."""
+    """The stored ticket table, partitioned by sheet so that a selection of sheets prunes files.
+
+    A version names, for each sheet, the folder that holds its rows, and its entry of the catalogue: a refresh writes the sheets that changed
+    and swaps table and catalogue in one step. Until then, and after a crash, readers see the old ones; a table can be rewritten from itself.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.versions = spark, path.rstrip("/"), Versions(spark, path)
 
     def write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").partitionBy(*SHEET).parquet(self.path)
-        self.spark.catalog.refreshByPath(self.path)
+        """Replace the whole table."""
+        number, _ = self.versions.read()
+        self._store(number, df, {}, None, {}, None)
+
+    def refresh(self, df: DataFrame, changed: list[tuple[str, str]], rejected: dict[str, str] | None = None, batch: tuple[str, int] | None = None) -> bool:
+        """Replace the sheets ``changed`` by their rows in ``df``, keep the others. False, and nothing is done, if ``batch`` was stored before.
+
+        ``batch`` is a stream's name and its number; ``rejected`` tells why sheets (by ``sheet_key``) gave no tickets. Sheets of ``df`` must be among the changed ones.
+        """
+        number, content = self.versions.read()
+        if batch and content.get("batch") and content["batch"][0] == batch[0] and content["batch"][1] >= batch[1]:
+            return False
+        keys = {sheet_key(*c) for c in changed}
+        keep = {k: v for k, v in content.get("sheets", {}).items() if k not in keys}
+        told = {k: v for k, v in content.get("rejected", {}).items() if k not in keys} | (rejected or {})
+        self._store(number, df, keep, content.get("schema"), told, list(batch) if batch else content.get("batch"))
+        return True
+
+    def _store(self, number: int, df: DataFrame, keep: dict, schema: str | None, rejected: dict, batch: list | None) -> None:
+        folder = self.versions.folder()
+        df.write.partitionBy(*SHEET).parquet(f"{self.path}/{folder}")
+        fields = {f.name: f for f in T.StructType.fromJson(json.loads(schema)).fields} if schema else {}
+        whole = T.StructType(list((fields | {f.name: f for f in df.schema.fields}).values()))
+        written = self._scan(df.schema, [folder])
+        # One row a sheet.
+        entries = {sheet_key(r["_table_name"], r["_sheet_name"]): [folder, r["row_count"], r["date_min"], r["date_max"]] for r in catalogue_of(written).collect()}
+        sheets = keep | entries
+        self.versions.commit(number, {"schema": whole.json(), "sheets": sheets, "folders": sorted({v[0] for v in sheets.values()}), "rejected": rejected, "batch": batch})
+
+    def _scan(self, schema: T.StructType, places: list[str]) -> DataFrame:
+        names = [f.name for f in schema.fields]
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        # Partition columns are named, so that a sheet called 007 stays text.
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/{p}" for p in places]).select(*names)
 
     def all(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """All rows of the current version, which stays as it is however often the table is replaced meanwhile (see ``Versions.sweep``)."""
+        _, content = self.versions.read()
+        if not content:
+            raise FileNotFoundError(f"no ticket table at {self.path}")
+        parts = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        dirs = [f"{v[0]}/" + "/".join(parts.getPartitionPathString(c, x) for c, x in zip(SHEET, json.loads(k), strict=True)) for k, v in content["sheets"].items()]
+        return self._scan(T.StructType.fromJson(json.loads(content["schema"])), dirs)
+
+    def in_order(self) -> DataFrame:
+        """All rows with ingest_seq by the order of tables, sheets and rows, as an ingest of all sheets at once numbers them."""
+        order = sorted(json.loads(k) for k in self.versions.read()[1]["sheets"])
+        # One row a sheet.
+        numbers = self.spark.createDataFrame([(*k, n) for n, k in enumerate(order, 1)], "_table_name string, _sheet_name string, no_ long")
+        rows = self.all()
+        seq = F.shiftleft("no_", 32) + F.col("ingest_seq").bitwiseAND(F.lit((1 << 32) - 1))
+        return rows.join(numbers, SHEET).withColumn("ingest_seq", seq).select(*rows.columns)
+
+    def catalogue(self) -> DataFrame:
+        """The catalogue of the same version."""
+        rows = [(*json.loads(k), n, True, lo, hi) for k, (_, n, lo, hi) in self.versions.read()[1].get("sheets", {}).items()]
+        return self.spark.createDataFrame(rows, Catalogue.SCHEMA)
+
+    def rejected(self) -> DataFrame:
+        """(_table_name, _sheet_name, reason) of the sheets that gave no tickets, or broke off, when they were last read."""
+        rows = [(*json.loads(k), reason) for k, reason in self.versions.read()[1].get("rejected", {}).items()]
+        return self.spark.createDataFrame(rows, "_table_name string, _sheet_name string, reason string")
 
     def sheets(self, chosen: list[dict]) -> DataFrame:
         return select_sheets(self.all(), chosen)
 
 
+def sheet_key(table: str, sheet: str) -> str:
+    return json.dumps([table, sheet], ensure_ascii=False)
+
+
 def select_sheets(df: DataFrame, chosen: list[dict]) -> DataFrame:
     """Rows of the chosen (table_name, sheet_name) pairs; pairs that lack either are skipped, none chosen gives no rows.
 
     A predicate on the partition columns: files of other sheets aren't read.
     """
     keep = F.lit(False)
-    for c in chosen:
-        if c.get("table_name") and c.get("sheet_name"):
-            keep = keep | ((F.col("_table_name") == c["table_name"]) & (F.col("_sheet_name") == c["sheet_name"]))
+    for table, sheet in chosen_pairs(chosen):
+        keep = keep | ((F.col("_table_name") == table) & (F.col("_sheet_name") == sheet))
     return df.filter(keep)
 
 
+def chosen_pairs(chosen: list[dict]) -> list[tuple[str, str]]:
+    return [(c["table_name"], c["sheet_name"]) for c in chosen if c.get("table_name") and c.get("sheet_name")]
+
+
 def tag_example(df: DataFrame, seq: str = "ingest_seq") -> DataFrame:
     """The first row that has tags, by its problem columns; no row where none has."""
     columns = [c for c in ("problem_raw", "problem_normalized", "problem_tags") if c in df.columns]
