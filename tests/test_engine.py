@@ -264,15 +264,15 @@ def test_retries_and_their_waits():
 
 def test_slices_are_stored_one_by_one(spark, tmp_path):
     problems = normalize.distinct_problems(spark.createDataFrame([(f"Problem {i}",) for i in range(40)], "problem_raw string"))
-    mapping = store.Mapping(spark, f"{tmp_path}/m", "key string, normalized string, tags array<string>")
+    mapping = store.Mapping(spark, f"{tmp_path}/m", "key string, normalized string, tags array<string>", slices=4)
     provider = lambda items: {x: {"normalized": x, "tags": []} for x in items}
     compute = lambda keys, held: normalize.normalise_problems(keys, held, [], provider)
     asked = iter([False, False, True])
     with pytest.raises(shared.Cancelled):
-        normalize.store_in_slices(problems, mapping, compute, 4, lambda: next(asked))
+        normalize.store_in_slices(problems, mapping, compute, lambda: next(asked))
     n = mapping.read().count()
     assert 0 < n < 40 and normalize.completed(problems, mapping.read(), compute).count() == 40 and mapping.read().count() == n
-    assert normalize.store_in_slices(problems, mapping, compute, 4) == 0 and mapping.read().count() == 40
+    assert normalize.store_in_slices(problems, mapping, compute) == 0 and mapping.read().count() == 40
 
 
 def test_jobs_are_cancelled_by_tag(spark):

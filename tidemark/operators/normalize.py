@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from tidemark.functions.similarity import token_set_udf
 from tidemark.functions.text import clean, compose_address, expand_point, has_marker, keep_known, strip_marker
 from tidemark.operators.aggregates import mode_by
 from tidemark.schema import UNASSIGNED
-from tidemark.sources.shared import checked
+from tidemark.sources.shared import checked, shared_dir
 from tidemark.sources.store import Mapping
+from tidemark.sources.versions import Versions
 
 CATEGORY_RATIO, BATCH = 90, 100
 PAIR_FIELDS = ["client_normalized", "client_qualifier", "point_name", "city", "street", "house", "korpus", "apartment"]
@@ -82,11 +85,12 @@ def retrying(provider: Provider, tries: int = 3, wait: float = 1.0, sleep: Calla
     return ask_again
 
 
-def ask(keys: DataFrame, raw: list[str], provider: Provider, schema: str, workers: int = 20, batch: int = BATCH) -> DataFrame:
+def ask(keys: DataFrame, raw: list[str], provider: Provider, schema: str, workers: int = 20, batch: int = BATCH, failures: Accumulator | None = None) -> DataFrame:
     """Rows that the provider gives for the values of the ``raw`` columns, in batches; at most ``workers`` tasks call it at a time.
 
     It gets the values as they were written, in key order, and never sees the key. Values that it fails on, and answers to values that it
     wasn't asked for, come out nowhere, so they are not stored and count as misses again. Of keys that repeat the least raw values are asked.
+    ``failures`` counts batches that failed (again, if their task runs again).
     """
     names = [c.split()[0] for c in schema.split(",")]
 
@@ -98,6 +102,8 @@ def ask(keys: DataFrame, raw: list[str], provider: Provider, schema: str, worker
                 try:
                     found = provider(items)
                 except Exception:  # noqa: BLE001  a provider's error costs its batch, not the run
+                    if failures is not None:
+                        failures.add(1)
                     continue
                 yield pd.DataFrame([{"key": k, **found[x]} for k, x in zip(part["key"], items, strict=True) if x in found], columns=names)
 
@@ -105,34 +111,45 @@ def ask(keys: DataFrame, raw: list[str], provider: Provider, schema: str, worker
     return once.repartition(workers).sortWithinPartitions("key").mapInPandas(run, schema)
 
 
-def normalise_problems(problems: DataFrame, store: DataFrame, categories: list[str], provider: Provider, batch: int = BATCH) -> DataFrame:
+def normalise_problems(problems: DataFrame, store: DataFrame, categories: list[str], provider: Provider, batch: int = BATCH, failures: Accumulator | None = None) -> DataFrame:
     """New mapping rows (key, normalized, tags): the fuzzy layer first, the provider for what it leaves."""
     # Texts that differ by case alone are one key.
     missing = match_category(misses(problems, store).groupBy("key").agg(F.min("problem_raw").alias("problem_raw")), categories)
     sure = missing.filter("category is not null").select("key", F.col("category").alias("normalized"), F.array("category").alias("tags"))
     left = missing.filter("category is null").select("key", "problem_raw")
-    asked = ask(left, ["problem_raw"], provider, "key string, normalized string, tags array<string>", batch=batch).join(left, "key")
+    asked = ask(left, ["problem_raw"], provider, "key string, normalized string, tags array<string>", batch=batch, failures=failures).join(left, "key")
     phrase = F.when(clean(F.col("normalized")) == "", F.col("problem_raw")).otherwise(F.col("normalized"))
     return sure.unionByName(asked.select("key", phrase.alias("normalized"), keep_known(F.col("tags"), categories, UNASSIGNED).alias("tags")))
 
 
-def normalise_pairs(pairs: DataFrame, store: DataFrame, provider: Provider, qualifiers: dict[str, str], brands: dict[str, str], default_brand: str, batch: int = BATCH) -> DataFrame:
+def normalise_pairs(pairs: DataFrame, store: DataFrame, provider: Provider, qualifiers: dict[str, str], brands: dict[str, str], default_brand: str, batch: int = BATCH, failures: Accumulator | None = None) -> DataFrame:
     """New mapping rows of client and address pairs: the provider extracts fields, the rest is deterministic."""
-    asked = ask(misses(pairs, store), ["client_raw", "address_raw"], provider, "key string, " + ", ".join(f"{c} string" for c in PAIR_FIELDS), batch=batch)
+    asked = ask(misses(pairs, store), ["client_raw", "address_raw"], provider, "key string, " + ", ".join(f"{c} string" for c in PAIR_FIELDS), batch=batch, failures=failures)
     address = compose_address(*[F.col(c) for c in ("city", "street", "house", "korpus", "apartment")])
     return asked.select("key", clean(F.col("client_normalized")).alias("client_normalized"), clean(F.col("client_qualifier")).alias("client_qualifier"), expand_point(F.col("point_name"), qualifiers, brands, default_brand).alias("point_name"), address.alias("address_normalized"), clean(F.col("city")).alias("city"))
 
 
-def store_in_slices(keys: DataFrame, mapping: Mapping, compute: Callable[[DataFrame, DataFrame], DataFrame], slices: int = 20, stop: Callable[[], bool] | None = None) -> int:
+def store_in_slices(keys: DataFrame, mapping: Mapping, compute: Callable[[DataFrame, DataFrame], DataFrame], stop: Callable[[], bool] | None = None) -> int:
     """Add to ``mapping`` what ``compute`` (of keys and the stored mapping) gives for the keys that it lacks, a slice of them at a time; how many keys it lacks then.
 
-    Each slice is stored before the next one begins: a run that fails or is stopped loses one slice, and the next run goes on from there.
+    Keys are laid out once by the hash that the mapping is laid out by, so that each slice reads its own keys and its own part of the store.
+    Each is stored before the next one begins: a run that fails or is stopped loses one slice, and the next run goes on from there.
     """
-    for i in range(slices):
-        checked(stop)
-        store = mapping.read()
-        mapping.add(compute(keys.filter(F.pmod(F.xxhash64("key"), F.lit(slices)) == i), store))
-    return misses(keys, mapping.read()).select("key").distinct().count()
+    spark = keys.sparkSession
+    laid = Versions(spark, f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}")
+    keys.withColumn("slice", mapping.slice_of(F.col("key"))).write.partitionBy("slice").parquet(f"{laid.path}/all")
+    left = 0
+    try:
+        for name in laid.entries("all"):
+            if not name.startswith("slice="):
+                continue
+            checked(stop)
+            part, own = int(name[6:]), spark.read.schema(keys.schema).parquet(f"{laid.path}/all/{name}")
+            mapping.add(compute(own, mapping.read(part)), part)
+            left += misses(own, mapping.read(part)).select("key").distinct().count()
+    finally:
+        laid.remove("")
+    return left
 
 
 def completed(keys: DataFrame, store: DataFrame, compute: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:

@@ -13,7 +13,7 @@ from tidemark.operators import aggregates, ingest, normalize, reconcile
 from tidemark.plans import tools
 from tidemark.plans.views import MESSY_SQL, TAGS_SQL, TICKETS_SQL, messy, read, tagged, tickets
 from tidemark.schema import UNASSIGNED
-from tidemark.sources import sheets
+from tidemark.sources import sheets, store
 from tidemark.sources.shared import shared_dir
 from tidemark.streaming import refresh
 
@@ -441,8 +441,21 @@ def type_problems(spark, sf_dir):
     return normalize.distinct_problems(read(spark, sf_dir, "part").select(F.concat(kind, F.lit(" x")).alias("problem_raw")))
 
 
-@query("""SELECT lower(p_type) || ' x' AS key, CASE WHEN p_type = 'ECONOMY' THEN 'Economy' WHEN p_type = 'PROMO' THEN 'PROMO x' ELSE p_type || ' x!' END AS normalized,
-CASE WHEN p_type = 'PROMO' THEN 'unassigned' ELSE 'Economy' END AS tags FROM (SELECT DISTINCT p_type FROM part) WHERE p_type <> 'SMALL'""")
+NORMALISED = """SELECT lower(p_type) || ' x' AS key, CASE WHEN p_type = 'ECONOMY' THEN 'Economy' WHEN p_type = 'PROMO' THEN 'PROMO x' ELSE p_type || ' x!' END AS normalized,
+CASE WHEN p_type = 'PROMO' THEN 'unassigned' ELSE 'Economy' END AS tags FROM (SELECT DISTINCT p_type FROM part) WHERE p_type <> 'SMALL'"""
+
+
+@query(NORMALISED)
+def stored_problems(spark, sf_dir):
+    """Through the mapping store: one slice of keys after the other, then a run that only finds what the first one lost, then compaction."""
+    mapping = store.Mapping(spark, scratch(spark, "mapping"), "key string, normalized string, tags array<string>", slices=4)
+    for _ in range(2):
+        normalize.store_in_slices(type_problems(spark, sf_dir), mapping, lambda keys, held: normalize.normalise_problems(keys, held, ["Economy"], problems_by_rules))
+    mapping.compact()
+    return mapping.read().withColumn("tags", F.array_join("tags", "|"))
+
+
+@query(NORMALISED)
 def normalised_problems(spark, sf_dir):
     none = spark.createDataFrame([], "key string")
     found = normalize.normalise_problems(type_problems(spark, sf_dir), none, ["Economy"], problems_by_rules)

@@ -31,17 +31,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+INTERRUPT = "spark.job.interruptOnCancel"
+
+
 class Cancelled(Exception):
     """A run was stopped from outside; what it had stored by then stays."""
 
 
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
-    """Jobs begun inside carry ``tag``, by which ``cancel`` finds them."""
+    """Jobs begun inside carry ``tag``, by which ``cancel`` finds them and interrupts their tasks, a provider's call included.
+
+    Streams started inside carry it on; other threads do if they are ``pyspark.InheritableThread``.
+    """
+    held = spark.sparkContext.getLocalProperty(INTERRUPT)
     spark.sparkContext.addJobTag(tag)
+    spark.sparkContext.setLocalProperty(INTERRUPT, "true")
     try:
         yield
     finally:
+        spark.sparkContext.setLocalProperty(INTERRUPT, held)
         spark.sparkContext.removeJobTag(tag)
 
 

@@ -3,35 +3,79 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.versions import Versions
 
-class Mapping:
-    """A mapping table by ``key``, appended to by each run; the latest row of a key counts."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
 
-    def read(self) -> DataFrame:
-        try:
-            rows = self.spark.read.schema(self.schema + ", stored_at timestamp").parquet(self.path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self.schema)
-        names = [f.split()[0] for f in self.schema.split(", ")]
-        return rows.groupBy("key").agg(F.max_by(F.struct(*[n for n in names if n != "key"]), "stored_at").alias("v")).select("key", "v.*")
-
-    def add(self, rows: DataFrame) -> None:
-        rows.withColumn("stored_at", F.current_timestamp()).write.mode("append").parquet(self.path)
+class Mapping:
+    """A mapping table by ``key`` in ``slices`` by a hash of it; the latest row of a key counts.
+
+    Each run appends a piece to the slices that it has rows for. A slice that has MOST_PIECES of them is written anew, its latest rows
+    only, by the run that comes next, so that what a slice holds stays below that many times its keys, however often they change.
+    """
+
+    MOST_PIECES = 4
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, slices: int = 20):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.versions = Versions(spark, path)
+        # How a stored mapping is laid out was settled when it was begun.
+        self.slices = self.versions.read()[1].get("slices", slices)
+        self.names = [f.split()[0] for f in schema.split(", ")]
+
+    def slice_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.slices)).cast("int")
+
+    def _raw(self, pieces: dict[str, list[str]], wanted: set[str] | None) -> DataFrame:
+        paths = [f"{self.path}/{d}" for i, dirs in pieces.items() if wanted is None or i in wanted for d in dirs]
+        full = self.schema + ", run long"
+        return self.spark.read.schema(full).parquet(*paths) if paths else self.spark.createDataFrame([], full)
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        values = F.max_by(F.struct("run", *[n for n in self.names if n != "key"]), "run").alias("v")
+        return rows.groupBy("key").agg(values).select("key", "v.*").select(*self.names, "run")
+
+    def read(self, part: int | None = None) -> DataFrame:
+        """The latest row of each key, of all slices or of one, which reads the files of that slice only."""
+        pieces = self.versions.read()[1].get("pieces", {})
+        return self._latest(self._raw(pieces, None if part is None else {str(part)})).select(*self.names)
+
+    def add(self, rows: DataFrame, part: int | None = None) -> None:
+        """Store rows, all of them of slice ``part`` if it is given."""
+        number, content = self.versions.read()
+        pieces: dict[str, list[str]] = content.get("pieces", {})
+        new = rows.select(*self.names).withColumn("run", F.lit(number + 1).cast("long"))
+        full = {i for i, dirs in pieces.items() if len(dirs) >= self.MOST_PIECES and part in (None, int(i))}
+        if full:
+            among = self.slice_of(F.col("key")).isin(sorted(map(int, full)))
+            new = new.filter(~among).unionByName(self._latest(self._raw(pieces, full).unionByName(new.filter(among))))
+        self._write(number, content, new, full)
+
+    def compact(self) -> None:
+        """Write every slice of several pieces anew as one."""
+        number, content = self.versions.read()
+        several = {i for i, dirs in content.get("pieces", {}).items() if len(dirs) > 1}
+        if several:
+            self._write(number, content, self._latest(self._raw(content["pieces"], several)), several)
+
+    def _write(self, number: int, content: dict, rows: DataFrame, anew: set[str]) -> None:
+        folder = self.versions.folder()
+        rows.withColumn("slice", self.slice_of(F.col("key"))).write.partitionBy("slice").parquet(f"{self.path}/{folder}")
+        pieces = {i: dirs for i, dirs in content.get("pieces", {}).items() if i not in anew}
+        for name in self.versions.entries(folder):
+            if name.startswith("slice="):
+                pieces.setdefault(name[6:], []).append(f"{folder}/{name}")
+        self.versions.commit(number, {"slices": self.slices, "pieces": pieces, "folders": sorted({d.split("/")[0] for dirs in pieces.values() for d in dirs})})
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], self.schema + ", stored_at timestamp").write.mode("overwrite").parquet(self.path)
+        self.versions.commit(self.versions.read()[0], {"slices": self.slices, "pieces": {}})
 
 
 def read_json(path: str) -> object | None:
@@ -129,32 +173,59 @@ class Glossary:
 
 
 class QueryLog:
-    """An append-only table of questions and answers, a partition for each day."""
+    """An append-only table of questions and answers, a partition for each day.
 
-    SCHEMA = "kind string, question string, tool string, arguments string, summary string, at timestamp"
+    Each entry is a file of its own until its day is over; ``compact`` then makes one file of them.
+    """
+
+    SCHEMA = "kind string, question string, tool string, arguments string, summary string, at timestamp, id string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def add(self, kind: str, question: str, tool: str = "", arguments: dict | None = None, summary: str = "") -> None:
-        row = (kind, question, tool, json.dumps(arguments or {}, ensure_ascii=False), summary, datetime.now(UTC))
-        self.spark.createDataFrame([row], self.SCHEMA).withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(self.path)
+    def add(self, kind: str, question: str, tool: str = "", arguments: dict | None = None, summary: str = "", at: datetime | None = None) -> None:
+        row = (kind, question, tool, json.dumps(arguments or {}, ensure_ascii=False), summary, at or datetime.now(UTC), uuid.uuid4().hex)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(self.path)
 
     def react(self, question: str, reaction: str, comment: str = "") -> None:
         """What a reader thought of the answer to a question."""
         self.add("reaction", question, summary=f"{reaction} {comment}".strip())
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """All entries; one that a compaction had copied but not yet removed counts once."""
+        return self.spark.read.schema(self.SCHEMA + ", day date").parquet(self.path).dropDuplicates(["id"])
 
-    def keep(self, max_bytes: int) -> list[str]:
-        """Drop the oldest days until the log holds ``max_bytes`` at most; the days dropped."""
+    def _days(self) -> tuple[pafs.FileSystem, str, dict[str, list[pafs.FileInfo]]]:
         store, root = pafs.FileSystem.from_uri(self.path if ":/" in self.path else f"file://{self.path}")
-        days: dict[str, int] = {}
-        for i in store.get_file_info(pafs.FileSelector(root, recursive=True)):
-            if i.type == pafs.FileType.File and "/day=" in i.path:
-                day = i.path.split("/day=")[1].split("/")[0]
-                days[day] = days.get(day, 0) + i.size
+        days: dict[str, list[pafs.FileInfo]] = {}
+        for i in store.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
+            name = i.path.split("/")[-1]
+            if i.type == pafs.FileType.File and "/day=" in i.path and name.endswith(".parquet") and not name.startswith((".", "_")):
+                days.setdefault(i.path.split("/day=")[1].split("/")[0], []).append(i)
+        return store, root, days
+
+    def compact(self, today: date | None = None) -> list[str]:
+        """Make one file of each day that is over and has several; the days made so.
+
+        The new file is there before the old ones go, so that a crash loses nothing (see ``read``); the next compaction ends its work.
+        """
+        store, root, days = self._days()
+        done = []
+        for day, files in sorted(days.items()):
+            if day < (today or datetime.now(UTC).date()).isoformat() and len(files) > 1:
+                # A day of questions is small.
+                entries = self.spark.read.schema(self.SCHEMA).parquet(*[f.path if ":/" not in self.path else f"{self.path}/day={day}/{f.path.split('/')[-1]}" for f in files]).dropDuplicates(["id"])
+                entries.coalesce(1).write.mode("append").parquet(f"{self.path}/day={day}")
+                for f in files:
+                    store.delete_file(f.path)
+                done.append(day)
+        return done
+
+    def keep(self, max_bytes: int) -> list[str]:
+        """Compact, then drop the oldest days until the log holds ``max_bytes`` at most; the days dropped."""
+        self.compact()
+        store, root, files = self._days()
+        days = {day: sum(f.size for f in own) for day, own in files.items()}
         gone = []
         for day in sorted(days):
             if sum(days.values()) <= max_bytes:

@@ -52,6 +52,12 @@ class Versions:
         found = self._pointers()
         return (found[-1][0], self._content(found[-1][0])) if found else (0, {})
 
+    def entries(self, folder: str) -> list[str]:
+        return sorted(n for n, _ in self._names(folder))
+
+    def remove(self, folder: str) -> None:
+        self._store.delete(self._at(folder), True)
+
     @staticmethod
     def folder() -> str:
         """The name of a new folder for data."""
