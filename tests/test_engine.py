@@ -168,7 +168,7 @@ def test_similarity_scores():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert similarity.common(a, b) == table[-1][-1]
+        assert similarity.common_of([a], [b])[0] == table[-1][-1]
 
 
 @pytest.mark.parametrize(

@@ -39,12 +39,15 @@ def word_key(c: Column) -> Column:
 
 
 def address_fingerprint(address: Column, city: Column) -> Column:
-    """Street and house without city, kind words, case and punctuation: the anchor of "the same house"."""
+    """Street and house without city, kind words, case and punctuation: the anchor of "the same house".
+
+    Patterns over the whole text, not a lambda over its words: these stay in generated code.
+    """
     a, prefix = clean(address), F.concat(F.coalesce(city, F.lit("")), F.lit(","))
     cut = (F.length(prefix) > 1) & F.startswith(F.lower(a), F.lower(prefix))
     tail = F.when(cut, F.substring(a, F.length(prefix) + 1, F.length(a))).otherwise(a)
-    kinds = F.array(*[F.lit(w) for w in ADDRESS_TYPE_WORDS])
-    return F.array_join(F.filter(F.transform(F.split(tail, r"[\s,]+"), norm_key), lambda x: (x != "") & ~F.array_contains(kinds, x)), "")
+    keys = F.regexp_replace(F.translate(F.lower(tail), "ё", "е"), r"[^0-9a-zа-я\s,]", "")
+    return F.regexp_replace(F.regexp_replace(keys, rf"(?<![^\s,])(?:{'|'.join(ADDRESS_TYPE_WORDS)})(?![^\s,])", ""), r"[\s,]+", "")
 
 
 def house_key(address: Column, city: Column) -> Column:
@@ -61,6 +64,12 @@ def token_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-zа-яё\s]", " "), r"\s+"), lambda x: x != ""))
 
 
+def score_words(c: Column) -> Column:
+    """The distinct words that the token-set score compares (see ``similarity.words``)."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u0080-\u00ff]", ""), r"[^\p{L}\p{N}_]", " ")
+    return F.array_distinct(F.filter(F.split(F.lower(bare), r"\s+"), lambda w: w != ""))
+
+
 def legal_forms(c: Column) -> Column:
     """The distinct legal forms in a name, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"{WORD_START}({'|'.join(LEGAL_FORMS)}){WORD_END}"), F.lit(1))))
@@ -142,11 +151,14 @@ def split_point(name: Column, qualifiers: dict[str, str]) -> Column:
     if not qualifiers:
         return whole
     q = lookup(qualifiers)
+    # Few names have one; the others aren't taken apart.
+    keyed = F.regexp_replace(F.translate(F.lower(text), "ё", "е"), r"[^0-9a-zа-я\s]", "")
+    some = keyed.rlike(rf"(?<!\S)(?:{'|'.join(qualifiers)})(?!\S)")
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     at = F.coalesce(F.array_position(F.transform(words, lambda w: q[norm_key(w)].isNotNull()), True), F.lit(0)).cast("int")
     rest = F.filter(words, lambda w, i: i != at - 1)
     parts = F.struct(F.coalesce(F.get(rest, F.lit(0)), F.lit("")).alias("brand"), q[norm_key(F.get(words, at - 1))].alias("form"), F.array_join(F.slice(rest, F.lit(2), F.size(words)), " ").alias("territory"))
-    return F.when(at > 0, parts).otherwise(whole)
+    return F.when(some, F.when(at > 0, parts).otherwise(whole)).otherwise(whole)
 
 
 def safe_to_merge(a: Column, b: Column) -> Column:

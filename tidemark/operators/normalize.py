@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.similarity import token_set_udf
-from tidemark.functions.text import clean, compose_address, expand_point, has_marker, keep_known, strip_marker
+from tidemark.functions.text import clean, compose_address, expand_point, has_marker, keep_known, score_words, strip_marker
 from tidemark.operators.aggregates import mode_by
 from tidemark.schema import UNASSIGNED
 from tidemark.sources.shared import checked, shared_dir
@@ -45,12 +45,6 @@ def misses(keys: DataFrame, store: DataFrame) -> DataFrame:
     return keys.join(store.select("key"), "key", "left_anti")
 
 
-def score_words(c: Column) -> Column:
-    """The distinct words that the token-set score compares (see ``similarity.words``)."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u0080-\u00ff]", ""), r"[^\p{L}\p{N}_]", " ")
-    return F.array_distinct(F.filter(F.split(F.lower(bare), r"\s+"), lambda w: w != ""))
-
-
 def match_category(problems: DataFrame, categories: list[str], text: str = "problem_raw") -> DataFrame:
     """With ``category``: the best token-set score from 90 up, the longer name and then the earlier of equals; else null.
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.similarity import token_set_udf
-from tidemark.functions.text import address_fingerprint, clean, house_key, known_house, leads_with_form, legal_forms, norm_key, null_if_blank, point_key, split_point, token_set
+from tidemark.functions.text import address_fingerprint, clean, known_house, leads_with_form, legal_forms, norm_key, null_if_blank, point_key, score_words, split_point, token_set
 from tidemark.operators.aggregates import keep_first, mode_by
+from tidemark.operators.components import components
 from tidemark.schema import FLAG_FORM, FLAG_GUESSED, FLAG_SHARED, FLAG_TERRITORY
 from tidemark.sources.shared import cut_lineage, spread
 
@@ -39,8 +39,8 @@ def town() -> Column:
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """Missing text as empty, trimmed; an empty list of flags."""
-    rows = df.withColumns({c: clean(F.col(c)) for c in FIELDS})
+    """Missing text as empty, trimmed; an empty list of flags. A small file is spread over the cores: what follows computes much from each row."""
+    rows = spread(df).withColumns({c: clean(F.col(c)) for c in FIELDS})
     return rows.withColumn("point_flags", F.array().cast("array<string>"))
 
 
@@ -48,48 +48,77 @@ def identity() -> Column:
     return F.when(client() != "", client()).otherwise(sign())
 
 
+def one_value(column: str) -> list[Column]:
+    """Least and greatest, lo_ and hi_: equal where all rows have one value. Unlike a count of distinct values, one pass without copies of the rows."""
+    return [F.min(column).alias(f"lo_{column}"), F.max(column).alias(f"hi_{column}")]
+
+
 def flagged(when: Column, flag: str) -> Column:
     return F.when(F.coalesce(when, F.lit(False)) & ~F.array_contains("point_flags", flag), F.array_append("point_flags", flag)).otherwise(F.col("point_flags"))
 
 
-def clusters(pairs: pd.DataFrame) -> pd.DataFrame:
-    """(fp, name, root) of one house's similar names; a house has a few names."""
-    root: dict[str, str] = {}
+def common_share(threshold: int) -> float:
+    """The least share of a name's characters that it has in common with one that scores ``threshold``, or that words shared by both make up."""
+    t = (threshold - 0.5) / 100
+    return t / (2 - t)
 
-    def find(x: str) -> str:
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
 
-    for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    return pd.DataFrame({"fp": pairs["fp"].iloc[0], "name": list(root), "root": [find(x) for x in root]})
+def rarest(rows: DataFrame, keys: list[str], token: str, most: Column) -> DataFrame:
+    """The ``most`` tokens of each name that the fewest names of its house have."""
+    spread_ = rows.groupBy("fp", token).agg(F.count("*").alias("df_"))
+    order = Window.partitionBy(*keys).orderBy("df_", token)
+    return rows.join(spread_, ["fp", token]).withColumn("r_", F.row_number().over(order)).filter(F.col("r_") <= most).drop("r_", "df_")
 
 
-def client_renames(df: DataFrame, threshold: int = MERGE_RATIO) -> DataFrame:
-    """(name, canonical): names at one house that are similar and safe to merge become the fullest with a leading legal form."""
-    names = df.select(address_fingerprint(address(), town()).alias("fp"), client().alias("name")).filter("fp <> '' and name <> ''").distinct()
-    names = cut_lineage(names)
-    forms, long = legal_forms(F.col("name")), F.filter(token_set(F.col("name")), lambda w: F.length(w) >= 4)
-    facts = names.withColumns({"forms": forms, "words": long, "n": F.length("name")})
-    # Of names that may merge, one has no long word of its own (see safe_to_merge): its longest one stands in the other, too. So
-    # each name meets at its house those that hold its longest word; the few names without long words meet all.
-    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    held = facts.select("fp", F.struct("name", "forms", "words", "n").alias("y"), F.explode("words").alias("w"))
-    one = facts.select("fp", F.struct("name", "forms", "words", "n").alias("x"), longest.alias("w"))
-    pairs = one.filter("w is not null").join(held, ["fp", "w"]).drop("w").unionByName(one.filter("w is null").drop("w").join(facts.select("fp", F.struct("name", "forms", "words", "n").alias("y")), "fp"))
+def similar_names(names: DataFrame, threshold: int) -> DataFrame:
+    """(fp, a, b), a < b: names of one house that score ``threshold`` and are safe to merge. ``names``: distinct (fp, name).
+
+    Of names that may merge one has no long word of its own (see ``safe_to_merge``), so its rarest long word stands in the other, too:
+    names meet by that one word, of about the same length. Names without a long word meet others by characters: two that score
+    share so many (see ``common_share``) that one of the rarest few of the one, as many as it may lack and one more, is among the other's.
+    """
+    share = common_share(threshold)
+    name = F.col("name")
+    facts = names.withColumns({"forms": legal_forms(name), "words": F.filter(token_set(name), lambda w: F.length(w) >= 4), "n": F.length(name)})
+    facts = spread(cut_lineage(facts))
+    side = F.struct("name", "forms", "words", "n")
+    longs = facts.select("fp", side.alias("y"), F.explode("words").alias("w"))
+    one = rarest(longs.select("fp", F.col("y").alias("x"), "w"), ["fp", "x"], "w", F.lit(1))
+    like = lambda x, y: F.least(x["n"], y["n"]) / F.greatest(x["n"], y["n"]) >= 0.5
     x, y = F.col("x"), F.col("y")
-    safe = ~((F.size(x["forms"]) > 0) & (F.size(y["forms"]) > 0) & (x["forms"] != y["forms"])) & (F.least(x["n"], y["n"]) / F.greatest(x["n"], y["n"]) >= 0.5) & (F.size(F.array_except(x["words"], y["words"])) == 0)
+    held = F.size(F.array_except(x["words"], y["words"])) == 0
+    pairs = one.join(longs, ["fp", "w"]).filter(like(x, y) & held).select("fp", "x", "y")
+    bare = facts.filter("size(words) = 0")
+    if not bare.isEmpty():
+        pairs = pairs.unionByName(by_characters(facts.join(bare.select("fp").distinct(), "fp"), side, share).filter(like(x, y)))
+    safe = ~((F.size(x["forms"]) > 0) & (F.size(y["forms"]) > 0) & (x["forms"] != y["forms"]))
     # The native tests come first, the UDF sees what they leave.
     near = pairs.filter((x["name"] != y["name"]) & safe).select("fp", F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
-    edges = near.withColumn("score", token_set_udf("a", "b")).filter(F.col("score") >= threshold)
-    grouped = edges.groupBy("fp").applyInPandas(clusters, "fp string, name string, root string")
-    fullest = F.struct(leads_with_form(F.col("name")).cast("int").alias("front"), F.length("name").alias("n"))
-    # Of equally long names the first in order counts: max_by over names sorted backwards would not say which, so they are ranked.
-    ranked = grouped.groupBy("fp", "root").agg(F.max(fullest).alias("best"), F.collect_set("name").alias("names"))
-    canon = F.element_at(F.array_sort(F.filter("names", lambda n: (leads_with_form(n).cast("int") == F.col("best.front")) & (F.length(n) == F.col("best.n")))), 1)
-    renames = ranked.select("fp", canon.alias("canonical"), F.explode("names").alias("name")).filter("name <> canonical")
+    return near.withColumn("score", token_set_udf("a", "b")).filter(F.col("score") >= threshold).select("fp", "a", "b")
+
+
+def by_characters(facts: DataFrame, side: Column, share: float) -> DataFrame:
+    """(fp, x, y): names without long words beside those of their house that one of their rarest characters, or of the other's, leads to."""
+    letters = F.array_sort(F.split(F.array_join(F.array_sort(score_words(F.col("name"))), " "), ""))
+    # The nth one of a character is a token of its own.
+    tokens = F.transform(letters, lambda c, i: F.concat(c, (i + 1 - F.array_position(letters, c)).cast("string")))
+    each = cut_lineage(facts.select("fp", side.alias("y"), F.size(letters).alias("k"), F.explode(F.filter(tokens, lambda c: c != "")).alias("c")))
+    may_lack = F.col("k") - F.ceil(F.col("k") * share - 1e-9) + 1
+    few = rarest(each, ["fp", "y"], "c", may_lack)
+    short, other = each.filter("size(y.words) = 0"), F.col("y").alias("x")
+    return few.filter("size(y.words) = 0").select("fp", "c", other).join(each, ["fp", "c"]).select("fp", "x", "y").unionByName(short.select("fp", "c", other).join(few, ["fp", "c"]).select("fp", "x", "y"))
+
+
+def client_renames(df: DataFrame, threshold: int = MERGE_RATIO) -> DataFrame:
+    """(name, canonical): names at one house that are similar and safe to merge become the fullest with a leading legal form."""
+    names = df.select(address_fingerprint(address(), town()).alias("fp"), client().alias("name")).filter("fp <> '' and name <> ''").distinct()
+    edges = similar_names(names, threshold)
+    node = lambda c: F.struct("fp", F.col(c).alias("name"))
+    stars = components(edges.select(node("a").alias("a"), node("b").alias("b")))
+    grouped = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).select("root", "node.fp", "node.name")
+    # The fullest with a form in front, the first in order of equals: the least of these.
+    best = F.min(F.struct((~leads_with_form(F.col("name"))).alias("bare"), (-F.length("name")).alias("n"), "name"))["name"]
+    renames = grouped.join(grouped.groupBy("root").agg(best.alias("canonical")), "root").filter("name <> canonical")
     return renames.groupBy("name").agg(F.max_by("canonical", "fp").alias("canonical"))
 
 
@@ -102,7 +131,7 @@ def swap_roles(df: DataFrame) -> DataFrame:
     """A sign with one owner that is a client elsewhere is that owner: the more frequent of both names stays, the sign on ties."""
     keyed = df.withColumn("ck_", norm_key(client()))
     freq = keyed.filter(client() != "").groupBy("ck_").agg(F.count("*").alias("n"))
-    signs = keyed.filter((client() != "") & (sign() != "")).groupBy("point_name").agg(F.count_distinct("ck_").alias("owners"), F.max_by(client(), "ingest_seq").alias("owner")).filter("owners = 1")
+    signs = keyed.filter((client() != "") & (sign() != "")).groupBy("point_name").agg(*one_value("ck_"), F.max_by(client(), "ingest_seq").alias("owner")).filter("lo_ck_ = hi_ck_")
     pairs = signs.select(F.col("point_name").alias("sign"), norm_key(sign()).alias("sk"), "owner", norm_key(F.col("owner")).alias("ok")).filter("sk <> ok")
     fs, fo = freq.select(F.col("ck_").alias("sk"), F.col("n").alias("sn")), freq.select(F.col("ck_").alias("ok"), F.col("n").alias("on_"))
     sign_wins = F.col("sn") >= F.col("on_")
@@ -129,10 +158,11 @@ def reconcile_addresses(df: DataFrame, default_city: str | None = None) -> DataF
     old = df.withColumn("old_", town())
     one = unify(old, "address_city", norm_key(town()))
     swapped = F.when((F.col("old_") != town()) & F.startswith(address(), F.col("old_")), F.concat(town(), F.substring(address(), F.length("old_") + 1, F.length(address())))).otherwise(address())
-    one = one.withColumn("address_normalized", swapped).drop("old_").withColumn("fp_", address_fingerprint(address(), town()))
+    one = one.withColumn("address_normalized", swapped).drop("old_")
+    one = cut_lineage(one.withColumn("fp_", address_fingerprint(address(), town())))
     known = one.filter(town() != "")
     by_house = mode_by(known, ["client_normalized", "fp_"], "address_city", out="house_city")
-    by_client = known.groupBy("client_normalized").agg(F.count_distinct("address_city").alias("n"), F.min("address_city").alias("client_city")).filter("n = 1").drop("n")
+    by_client = known.groupBy("client_normalized").agg(F.min("address_city").alias("client_city"), F.max("address_city").alias("hi_")).filter("client_city = hi_").drop("hi_")
     vocabulary = known.groupBy(norm_key(town()).alias("word_")).agg(F.min("address_city").alias("name_city")).filter("word_ <> ''")
     need = (town() == "") & (address() != "") & address().rlike(r"\d")
     # The first word of a sign that is a city: words of the rows in need meet the vocabulary by an equi-join.
@@ -147,12 +177,15 @@ def reconcile_addresses(df: DataFrame, default_city: str | None = None) -> DataF
 
 def backfill_identity(df: DataFrame) -> DataFrame:
     """Rows with an address alone get the one identity of their house, or city-blind of their fingerprint; flagged."""
-    keyed = df.withColumn("id_", identity()).withColumn("fp_", F.when(address() != "", address_fingerprint(address(), town()))).withColumn("house_", F.when(address() != "", house_key(address(), town())))
+    keyed = df.withColumn("id_", identity()).withColumn("fp_", F.when(address() != "", address_fingerprint(address(), town())))
+    # Keys that cost much are worked out once, here and in other steps that use them more than once.
+    keyed = cut_lineage(keyed).withColumn("house_", F.concat(norm_key(town()), F.lit("|"), "fp_"))
     named = keyed.filter((F.col("id_") != "") & (address() != ""))
-    # Distinct values are counted, not collected: only houses of one identity matter.
-    stats = [F.count_distinct("id_").alias("n"), F.min("id_").alias("owner"), F.bool_and(client() != "").alias("all_clients")]
+    # Only houses of one identity matter: there the least is the greatest.
+    one = F.min("id_") == F.max("id_")
+    stats = [F.when(one, 1).otherwise(2).alias("n"), F.min("id_").alias("owner"), F.bool_and(client() != "").alias("all_clients")]
     houses = named.groupBy("house_").agg(*stats)
-    prints = named.groupBy("fp_").agg(F.count_distinct("id_").alias("fp_n"), F.min("id_").alias("fp_owner"), F.min_by("house_", "house_").alias("fp_house")).filter("fp_n = 1")
+    prints = named.groupBy("fp_").agg(F.when(one, 1).otherwise(2).alias("fp_n"), F.min("id_").alias("fp_owner"), F.min_by("house_", "house_").alias("fp_house")).filter("fp_n = 1")
     prints = prints.join(houses.select(F.col("house_").alias("fp_house"), F.col("all_clients").alias("fp_clients")), "fp_house").select("fp_", "fp_owner", "fp_clients")
     bare = (F.col("id_") == "") & (address() != "")
     joined = keyed.filter(bare).join(houses, "house_", "left").join(prints, "fp_", "left")
@@ -169,8 +202,9 @@ def fill_forms(df: DataFrame, qualifiers: dict[str, str]) -> DataFrame:
     if not qualifiers:
         return df
     parts = df.withColumn("id_", identity()).withColumn("s_", split_point(F.col("id_"), qualifiers)).withColumn("house_", F.when(F.col("id_") != "", known_house(address(), town())))
-    eligible = parts.filter("house_ is not null").withColumn("brand_", norm_key(F.col("s_.brand"))).withColumn("form_", null_if_blank(F.col("s_.form")))
-    houses = eligible.groupBy("house_").agg(F.count_distinct("brand_").alias("b"), F.count_distinct("form_").alias("f")).filter("b = 1 and f = 1").select("house_")
+    parts = cut_lineage(parts).withColumn("brand_", norm_key(F.col("s_.brand"))).withColumn("form_", null_if_blank(F.col("s_.form")))
+    eligible = parts.filter("house_ is not null")
+    houses = eligible.groupBy("house_").agg(*one_value("brand_"), *one_value("form_")).filter("lo_brand_ = hi_brand_ and lo_form_ = hi_form_").select("house_")
     full = mode_by(eligible.filter("form_ is not null"), ["house_"], "id_", out="full_").join(houses, "house_")
     joined = parts.join(full, "house_", "left").withColumn("fill_", F.col("full_").isNotNull() & (F.col("s_.form") == ""))
     by_client = F.col("fill_") & (client() != "")
@@ -180,7 +214,7 @@ def fill_forms(df: DataFrame, qualifiers: dict[str, str]) -> DataFrame:
 
 def reconcile_points(df: DataFrame) -> DataFrame:
     """Blank point names from the usual one of the client at the house, then one spelling for each name."""
-    keyed = df.withColumn("fp_", address_fingerprint(address(), town()))
+    keyed = cut_lineage(df.withColumn("fp_", address_fingerprint(address(), town())))
     usual = mode_by(keyed.filter((sign() != "") & (F.col("fp_") != "")), ["client_normalized", "fp_"], "point_name", out="usual_")
     filled = keyed.join(usual, ["client_normalized", "fp_"], "left").withColumn("point_name", F.when(sign() == "", F.coalesce("usual_", F.lit(""))).otherwise(sign()))
     return unify(filled.select(*df.columns), "point_name", norm_key(sign()))
@@ -205,9 +239,11 @@ def add_point_key(df: DataFrame) -> DataFrame:
 def flag_shared(df: DataFrame, qualifiers: dict[str, str]) -> DataFrame:
     """Flags: one house and sign with several clients; one house, brand and form with several territories."""
     keyed = df.withColumn("house_", F.when((address() != "") & (sign() != ""), known_house(address(), town()))).withColumn("sign_", norm_key(sign())).withColumn("s_", split_point(sign(), qualifiers))
-    shared = keyed.filter(F.col("house_").isNotNull() & (client() != "")).groupBy("house_", "sign_").agg(F.count_distinct("client_normalized").alias("n")).filter("n > 1").select("house_", "sign_", F.lit(True).alias("shared_"))
-    marks = keyed.filter("house_ is not null").groupBy("house_").agg(F.count_distinct(norm_key(F.col("s_.brand"))).alias("b"), F.count_distinct("s_.form").alias("f"), F.count_distinct(null_if_blank(F.col("s_.territory"))).alias("t"))
-    torn = marks.filter("b = 1 and f = 1 and t > 1").select("house_", F.lit(bool(qualifiers)).alias("torn_"))
+    keyed = cut_lineage(keyed)
+    there = keyed.filter("house_ is not null")
+    shared = there.filter(client() != "").groupBy("house_", "sign_").agg(*one_value("client_normalized")).filter("lo_client_normalized <> hi_client_normalized").select("house_", "sign_", F.lit(True).alias("shared_"))
+    marks = there.select("house_", norm_key(F.col("s_.brand")).alias("b"), F.col("s_.form").alias("f"), null_if_blank(F.col("s_.territory")).alias("t")).groupBy("house_").agg(*one_value("b"), *one_value("f"), *one_value("t"))
+    torn = marks.filter("lo_b = hi_b and lo_f = hi_f and lo_t <> hi_t").select("house_", F.lit(bool(qualifiers)).alias("torn_"))
     joined = keyed.join(shared, ["house_", "sign_"], "left").join(torn, "house_", "left")
     return joined.withColumn("point_flags", flagged(F.col("shared_") & (client() != ""), FLAG_SHARED)).withColumn("point_flags", flagged(F.col("torn_"), FLAG_TERRITORY)).select(*df.columns)
 
@@ -247,7 +283,7 @@ def reconcile(df: DataFrame, qualifiers: dict[str, str], default_city: str | Non
 
 def reconcile_with_report(df: DataFrame, qualifiers: dict[str, str], default_city: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The reconciled rows, and every change that a step made to them (see ``changes``), worked out only when it is read."""
-    out = spread(cut_lineage(prepared(df)))
+    out = cut_lineage(prepared(df))
     report = None
     for name, step in steps(qualifiers, default_city):
         before, out = out, step(out)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import point_key
-from tidemark.sources.shared import spread
 
 #: The same views for the SQL engine that results are compared with.
 TICKETS_SQL = """tickets AS (
@@ -34,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with customer and nation; Spark broadcasts the small sides while they are small."""
-    orders, customer, nation = spread(read(spark, sf_dir, "orders")), read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    orders, customer, nation = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
     return orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
 
 
