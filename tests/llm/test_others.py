@@ -139,6 +139,22 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_nearest_of_all_finite_vectors(spark):
+    """Components whose squares leave the range of doubles, on both ends, and ids that repeat."""
+    tiny = 5e-324
+    rows = [(0, [1e160, 1.0]), (20, [1e160, 1.0]), (40, [1e-170, tiny]), (60, [tiny, 0.0]), (1, [1.0, 0.0]), (2, [1e-170, 1e-170]), (3, [1e200, -1e200]), (5, [0.0, 1e300]), (7, [2.0, 1.0]), (7, [9.0, 9.0]), (80, [1.0, 1.0]), (80, [1.0, 2.0]), (80, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=7, block=3).collect())
+    want = []
+    for i, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            with np.errstate(over="ignore"):
+                scores = [(-float(np.float64(x[0]) * y[0] + np.float64(x[1]) * y[1]), c) for j, (c, y) in enumerate(rows) if j != i]
+            want += [(q, n, c, -s) for n, (s, c) in enumerate(sorted(scores)[:7], 1)]
+    assert got == sorted(want)
+    assert {r[2] for r in got if r[0] == 80} >= {7, 80}
+
+
 def test_nearest_bounds_hold():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(300, 64)) * rng.lognormal(size=(300, 1), sigma=3), rng.normal(size=(500, 64))

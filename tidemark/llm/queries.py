@@ -36,8 +36,7 @@ def op6_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,20 +17,16 @@ BASE_RULES = [
     ("access", r"AKIA[A-Z0-9]+", 0, 18, "AKIA"),
     ("hex", r"[0-9a-f]{16,}", 0, 16, None),
 ]
-#: Kinds that only this library looks for. A private key goes from its first to its last line; one that is cut off goes as
-#: far as its lines of base64 do.
+#: Kinds that only this library looks for; the first is found by ``private_keys``.
 MORE_RULES = [
-    (
-        "pem",
-        r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{16,}+){0,500}+)",
-        0,
-        1,
-        "PRIVATE KEY",
-    ),
+    ("pem", None, 0, 1, "PRIVATE KEY"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1, "eyJ"),
 ]
+#: The lines around a private key, and lines of one that is cut off: headers, and words of base64.
+KEY_MARK = r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+KEY_HEADER, KEY_WORD = r"^\s*[A-Za-z0-9-]+: ", r"[A-Za-z0-9+/=]{16,}"
 #: Rule version to its rules: a blob is scanned once for each version, ever. A changed rule needs a new version name.
-RULE_SETS = {"base-1": BASE_RULES, "more-2": MORE_RULES}
+RULE_SETS = {"base-1": BASE_RULES, "more-3": MORE_RULES}
 KINDS = [kind for rules in RULE_SETS.values() for kind, *_ in rules]
 SPAN = "array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
 #: Addresses and findings that are broadcast at most (some 150 bytes each); beyond, joins shuffle.
@@ -81,8 +77,53 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int, needs:
     return F.coalesce(F.when(maybe, running(F.arrays_zip(*columns), SPAN, F.lit(0), step, "bigint")), F.array().cast(SPAN))
 
 
+def key_lines(after: Column) -> Column:
+    """Characters of ``after``, the text behind the first line of a private key, up to the end of its last line.
+
+    Lines go on while they are blank, headers, or words of base64 of 16 characters or more; blank lines at the end don't count.
+    """
+    words = lambda line: F.trim(F.regexp_replace(F.regexp_replace(line, KEY_WORD, ""), r"\s", ""))
+    blank = lambda line: ~line.rlike(r"\S")
+
+    def among(lines: Column) -> Column:
+        # The rest of the first line is none of a header.
+        own = F.transform(lines, lambda line, i: (words(line) == "") | ((i > 0) & line.rlike(KEY_HEADER)))
+        n = F.coalesce(F.nullif(F.array_position(own, False), F.lit(0)) - 1, F.size(lines).cast("long")).cast("int")
+        kept = F.transform(F.slice(lines, F.lit(1), n), lambda line: F.struct((F.char_length(line) + 1).cast("long").alias("n"), blank(line).alias("blank")))
+        # Length so far, and length up to the last line that wasn't blank.
+        start = F.struct(F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("end"))
+        return F.aggregate(kept, start, lambda s, x: F.struct((s["all"] + x["n"]).alias("all"), F.when(x["blank"], s["end"]).otherwise(s["all"] + x["n"] - 1).alias("end")), lambda s: s["end"])
+
+    return bind(F.split(after, "\n", -1), among)
+
+
+def private_keys(text: Column) -> Column:
+    """Spans of private keys: from a BEGIN line to its END line, however long, or as far as the lines of a key go where another BEGIN or no mark follows.
+
+    Between marks the text is cut into pieces, so each character is looked at a bounded number of times.
+    """
+    kinds, marks, pieces = F.regexp_extract_all(text, F.lit(KEY_MARK), F.lit(1)), F.regexp_extract_all(text, F.lit(KEY_MARK), F.lit(0)), F.split(text, KEY_MARK, -1)
+    size = lambda c: F.char_length(c).cast("long")
+
+    def items(all_: Column) -> Column:
+        def one(mark: Column, i: Column) -> Column:
+            after, closed = F.get(all_["pieces"], i + 1), F.coalesce(F.get(all_["kinds"], i + 1) == "END", F.lit(False))
+            more = F.when(closed, size(after) + size(F.get(all_["marks"], i + 1))).otherwise(key_lines(after))
+            return F.struct(size(F.get(all_["pieces"], i)).alias("gap"), size(mark).alias("len"), F.when(F.get(all_["kinds"], i) == "BEGIN", more).alias("more"))
+
+        return F.transform(all_["marks"], one)
+
+    def step(at: Column, p: Column) -> Column:
+        begin, end = at + p["gap"], at + p["gap"] + p["len"]
+        span = F.struct(begin.alias("start"), F.lit(KINDS.index("pem")).alias("ord"), (end + p["more"]).alias("end"), F.lit("pem").alias("kind"))
+        return F.struct(end.alias("at"), F.when(p["more"].isNotNull(), F.array(span)).otherwise(F.array().cast(SPAN)).alias("add"))
+
+    found = bind(F.struct(kinds.alias("kinds"), marks.alias("marks"), pieces.alias("pieces")), items)
+    return F.coalesce(F.when(text.contains("PRIVATE KEY") & text.contains("-----BEGIN "), running(found, SPAN, F.lit(0), step, "bigint")), F.array().cast(SPAN))
+
+
 def rule_spans(text: Column, rules: list[tuple]) -> Column:
-    return F.concat(*[spans(text, *rule) for rule in rules])
+    return F.concat(*[spans(text, *rule) if rule[1] else private_keys(text) for rule in rules])
 
 
 def scan_unseen(blobs: DataFrame, ledger: str, rule_sets: dict[str, list[tuple]]) -> None:
