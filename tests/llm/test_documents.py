@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -545,6 +546,30 @@ def test_pipeline_near_copies_odd(odd, none):
     assert similar.drop_similar(none).count() == 0
 
 
+def templated(n, pairs, seed=3):
+    """Texts of which half is one template, each also with words of its own; of the first ``pairs`` a near copy (0.8 to 0.9 of the shingles)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template = [word() for _ in range(60)]
+    own = [[word() for _ in range(60)] for _ in range(n)]
+    texts = [(i, " ".join(template + w)) for i, w in enumerate(own)]
+    for i in range(pairs):
+        changed = template + own[i]
+        changed[rng.randrange(62, 110)] = word()
+        if i % 2:
+            changed[3] = word()
+        texts.append((n + i, " ".join(changed)))
+    return texts
+
+
+@pytest.mark.parametrize("limit, levels", [(40, 6), (40, 1), (2048, 6)])
+def test_overfull_buckets_lose_no_near_copy(spark, monkeypatch, limit, levels):
+    monkeypatch.setattr(similar, "LEVELS", levels)
+    df = spark.createDataFrame([(i, t, "s") for i, t in templated(1500, 150)], "doc_id long, text string, sig string").repartition(4)
+    kept = {r.doc_id for r in similar.drop_similar(df, limit=limit).collect()}
+    assert set(range(1500)) == kept & set(range(1500)) and len(kept) == 1500
+
+
 # --- 9: language
 
 def brute_phrases(parser, probe, training):
