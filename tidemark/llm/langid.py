@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._common import give_back
+
 #: Bounds of the labelled sample, parameters of ``learned``: rows of a language, characters of a row (a window at a hashed
 #: place), and languages; more languages are an error.
 SAMPLE_ROWS, ROW_CHARS, LANGUAGES = 256, 256, 200
@@ -315,6 +317,7 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
             for a, z, own in text_slices(b.column(1), len(texts)):
                 langs, score, _ = p.predict(own)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -354,5 +357,6 @@ def keep_identified(docs: DataFrame, texts: dict[str, str], text_col: str = "tex
                 named = pa.array([x or y for x, y in zip(b.column(lang).to_pylist(), found, strict=True)], b.schema.field(lang).type)
                 b = b.set_column(lang, b.schema.field(lang), named)
             yield b.filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._common import give_back
+
 #: The public model file; a parameter of everything below.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -386,6 +388,9 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
                 same = [x == t.encode() for x, t in zip(c.decode(ids, counts), texts[a:z], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), lists, pa.array(counts.astype(np.int32)), pa.array(same)], names=["doc_id", "ids", "n_tokens", "round_trip"])
+                del ids, counts, same, lists
+            del texts
+            give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
 
