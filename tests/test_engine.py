@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_queries_without_sql_are_tested_below():
-    assert set(queries.QUERIES) - set(queries.SQL) == {"category_match", "fuzzy_ratios", "client_cluster", "reconcile_all", "reconcile_report"}
+    assert set(queries.QUERIES) - set(queries.SQL) == {"category_match", "fuzzy_ratios", "glossary_matches", "client_cluster", "reconcile_all", "reconcile_report"}
 
 
 def test_fuzzy_queries_by_brute_force(spark, sf):

@@ -64,10 +64,19 @@ def token_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^0-9a-zа-яё\s]", " "), r"\s+"), lambda x: x != ""))
 
 
+def all_score_words(c: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u0080-\u00ff]", ""), r"[^\p{L}\p{N}_]", " ")
+    return F.filter(F.split(F.lower(bare), r"\s+"), lambda w: w != "")
+
+
 def score_words(c: Column) -> Column:
     """The distinct words that the token-set score compares (see ``similarity.words``)."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u0080-\u00ff]", ""), r"[^\p{L}\p{N}_]", " ")
-    return F.array_distinct(F.filter(F.split(F.lower(bare), r"\s+"), lambda w: w != ""))
+    return F.array_distinct(all_score_words(c))
+
+
+def sorted_words(c: Column) -> Column:
+    """The text that the token-sort score compares: its words, repeats included, in order."""
+    return F.array_join(F.array_sort(all_score_words(c)), " ")
 
 
 def legal_forms(c: Column) -> Column:

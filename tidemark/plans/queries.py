@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, similarity, text
-from tidemark.operators import aggregates, ingest, normalize, reconcile
+from tidemark.operators import aggregates, glossary, ingest, normalize, providers, reconcile
 from tidemark.plans import tools
 from tidemark.plans.views import MESSY_SQL, TAGS_SQL, TICKETS_SQL, messy, read, tagged, tickets
 from tidemark.schema import UNASSIGNED
@@ -411,15 +411,6 @@ def header_map(spark, sf_dir):
     return ingest.column_map(grid(spark, sf_dir)).select("_table_name", "_sheet_name", "header_row", F.explode("mapping").alias("target", "pos"))
 
 
-def pairs_by_rules(items: list) -> dict:
-    """A provider without a model: the client as it is written, the address by its commas."""
-    out = {}
-    for client, address in items:
-        city, street, house = [p.strip() for p in (address + ",,").split(",")[:3]]
-        out[client, address] = {"client_normalized": client, "client_qualifier": "", "point_name": "", "city": city, "street": street, "house": house, "korpus": "", "apartment": ""}
-    return out
-
-
 @query("""WITH raw AS (SELECT DISTINCT 'ООО ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS c, n_name AS city FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT lower(c || '||' || city || ', Main St, 5') AS key, c AS client_normalized, '' AS point_name, city || ', Main St, 5' AS address_normalized, city FROM raw""")
 def normalised_pairs(spark, sf_dir):
@@ -427,7 +418,7 @@ def normalised_pairs(spark, sf_dir):
     client = F.concat(F.lit("ООО "), F.initcap("c_mktsegment"))
     raw = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(client.alias("client_raw"), F.concat("n_name", F.lit(", Main St, 5")).alias("address_raw"))
     none = spark.createDataFrame([], "key string")
-    found = normalize.normalise_pairs(normalize.distinct_pairs(raw), none, pairs_by_rules, {}, {}, "Home")
+    found = normalize.normalise_pairs(normalize.distinct_pairs(raw), none, providers.pairs_by_rules, {}, {}, "Home")
     return found.select("key", "client_normalized", "point_name", "address_normalized", "city")
 
 
@@ -474,6 +465,91 @@ def tag_example(spark, sf_dir):
     return sheets.tag_example(tagged(spark, sf_dir)).select("problem_normalized", F.array_join("problem_tags", "|").alias("problem_tags"))
 
 
+@query("""WITH found AS (SELECT DISTINCT p_type FROM part) SELECT lower(p_type) || ' x' AS key, CASE WHEN p_type = 'ECONOMY' THEN 'Economy' ELSE p_type || ' x' END AS normalized,
+CASE WHEN p_type = 'ECONOMY' THEN 'Economy' WHEN p_type IN ('SMALL', 'MEDIUM', 'LARGE') THEN 'Sizes' ELSE 'unassigned' END AS tags FROM found""")
+def problems_by_rules_of_words(spark, sf_dir):
+    """Categories by the words of their descriptions, from the provider that needs no model."""
+    listed = [("Economy", ""), ("Sizes", "small, medium or large")]
+    found = normalize.normalise_problems(type_problems(spark, sf_dir), spark.createDataFrame([], "key string"), store.category_names(listed), providers.problems_by_rules(listed))
+    return found.withColumn("tags", F.array_join("tags", "|"))
+
+
+@query("""SELECT DISTINCT lower('Shop ' || c_mktsegment || ' ООО||г. ' || n_name || ', ул. Main, д. ' || (c_custkey % 40) || ', оф. 7') AS key, 'ООО Shop ' || c_mktsegment AS client_normalized,
+n_name AS city, n_name || ', Main, ' || (c_custkey % 40) || ', 7' AS address_normalized FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def pairs_with_kinds(spark, sf_dir):
+    """Addresses whose parts say their kind, and clients whose legal form stands last."""
+    customer, nation = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    address = F.concat(F.lit("г. "), "n_name", F.lit(", ул. Main, д. "), (F.col("c_custkey") % 40).cast("string"), F.lit(", оф. 7"))
+    client = F.concat(F.lit("Shop "), "c_mktsegment", F.lit(" ООО"))
+    raw = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(client.alias("client_raw"), address.alias("address_raw"))
+    found = normalize.normalise_pairs(normalize.distinct_pairs(raw), spark.createDataFrame([], "key string"), providers.pairs_by_rules, {}, {}, "Home")
+    return found.select("key", "client_normalized", "city", "address_normalized")
+
+
+TERMS = [store.Term("Economy", aliases=("cheap", "low price")), store.Term("Standard part", aliases=("plain",)), store.Term("Polished", aliases=("small polish",)), store.Term("Promotion", aliases=("promo",))]
+
+
+@query()
+def glossary_matches(spark, sf_dir):
+    """Terms near the names and the types of all parts."""
+    part = read(spark, sf_dir, "part")
+    return glossary.lookup(part.select(F.explode(F.array("p_name", "p_type")).alias("said")), store.Glossary(TERMS), "said", top_k=3)
+
+
+WORD_SET = "list_sort(list_distinct([w FOR w IN string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^0-9a-zа-яё\\s]', ' ', 'g'), '\\s+') IF w <> '']))"
+
+
+@query(f"SELECT doc_id, CAST(len({WORD_SET}) AS INT) AS n_words, array_to_string({WORD_SET}, ' ') AS words FROM documents")
+def word_sets(spark, sf_dir):
+    words = F.array_sort(text.token_set(F.col("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n_words"), F.array_join("w", " ").alias("words"))
+
+
+FORMS_SQL = "('ип', 'ооо', 'зао', 'оао', 'пао', 'ао', 'нко', 'ано')"
+
+
+@query(f"""WITH named AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ООО "' WHEN 1 THEN ' ип ' WHEN 2 THEN 'Ао-ЗАО ' ELSE 'Паола ' END || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' (ООО)' ELSE '' END AS name FROM customer),
+parts AS (SELECT *, string_split_regex(lower(name), '[^0-9a-zа-яё_]+') AS w FROM named)
+SELECT c_custkey, array_to_string(list_sort(list_distinct([x FOR x IN w IF x IN {FORMS_SQL}])), ',') AS forms, [x FOR x IN w IF x <> ''][1] IN {FORMS_SQL} AS leads FROM parts""")
+def legal_form_sets(spark, sf_dir):
+    k = F.col("c_custkey")
+    head = F.when(k % 4 == 0, 'ООО "').when(k % 4 == 1, " ип ").when(k % 4 == 2, "Ао-ЗАО ").otherwise("Паола ")
+    name = F.concat(head, "c_mktsegment", F.when(k % 3 == 0, " (ООО)").otherwise(""))
+    return read(spark, sf_dir, "customer").select(k, F.array_join(text.legal_forms(name), ",").alias("forms"), text.leads_with_form(name).alias("leads"))
+
+
+@query(f"""WITH {TICKETS_SQL} SELECT ticket_id, status, NULL AS comment FROM tickets WHERE status = 'F' UNION ALL SELECT ticket_id, NULL, 'late' FROM tickets WHERE status = 'O'
+UNION ALL SELECT ticket_id, status, date FROM tickets WHERE status = 'P'""")
+def sheets_united(spark, sf_dir):
+    """Sheets that don't have the same columns, one below the other."""
+    t = tickets(spark, sf_dir)
+    of = lambda status: t.filter(F.col("status") == status)
+    return ingest.union_all([of("F").select("ticket_id", "status"), of("O").select("ticket_id", F.lit("late").alias("comment")), of("P").select("status", F.col("date").alias("comment"), "ticket_id")])
+
+
+@query(f"WITH {TICKETS_SQL} SELECT date, client_normalized, point_name, address_normalized, problem_normalized, status, ticket_id FROM tickets ORDER BY ingest_seq LIMIT 100")
+def raw_preview(spark, sf_dir):
+    return tools.raw_preview(tickets(spark, sf_dir).orderBy("ingest_seq"))
+
+
+@query(f"""WITH {TICKETS_SQL} SELECT date, client_normalized, point_name, address_normalized, left(repeat(problem_normalized, 9), 80) AS problem_normalized, CASE WHEN status = 'P' THEN '—' ELSE status END AS status, ticket_id
+FROM tickets ORDER BY ingest_seq DESC LIMIT 300""")
+def analyst_rows(spark, sf_dir):
+    t = tickets(spark, sf_dir).withColumn("problem_normalized", F.repeat("problem_normalized", F.lit(9))).withColumn("status", F.when(F.col("status") != "P", F.col("status")))
+    return tools.digest_rows(t.orderBy(F.desc("ingest_seq")))
+
+
+@query(f"""WITH {TICKETS_SQL}, found AS (SELECT * FROM tickets WHERE problem_normalized ILIKE '%urgent%'),
+best AS (SELECT client_normalized, count(*) AS tickets FROM tickets GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30)
+SELECT row_number() OVER (ORDER BY tickets DESC, client_normalized) AS no, client_normalized, tickets, (SELECT 'tickets: ' || count(*) || ', last on ' || max(date) || ', clients: ' || count(DISTINCT client_normalized) FROM found) AS summary
+FROM best ORDER BY 1 LIMIT 12""")
+def answer_envelope(spark, sf_dir):
+    """A line of facts about one search, beside the bounded table of a report."""
+    t = tickets(spark, sf_dir)
+    said = tools.format_answer(tools.Result(tools.get_top_clients(t, n=30).table, tools.search_problem(t, "urgent").facts), rows=12)
+    return said.preview_data.select("no", "client_normalized", "tickets", F.lit(said.summary).alias("summary"))
+
+
 # --- reconciliation
 
 
