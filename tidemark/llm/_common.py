@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +28,13 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; before the next one comes, what the one before left behind is given back."""
+    for b in batches:
+        yield b
+        give_back()
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of ``df`` has it: for columns that live only inside an operator."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import give_back
+from tidemark.llm._common import freeing, give_back
 
 #: The public model file; a parameter of everything below.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -396,12 +396,16 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
 
 
 def decode_ids(rows: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of every row; null ids give an empty text, wrong UTF-8 becomes U+FFFD."""
+    """doc_id and text of every row; null ids, and none at all, give an empty text, wrong UTF-8 becomes U+FFFD.
+
+    Repeated rows each have their text; doc_ids may be null; a very long row is decoded whole; an empty table gives none; other
+    columns, whatever their names, are not read.
+    """
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
+        for b in freeing(batches):
             lists = [x or [] for x in b.column(1).to_pylist()]
             counts = np.array([len(x) for x in lists], dtype=np.int64)
             texts = c.decode(np.array([i for x in lists for i in x], dtype=np.int64), counts)
