@@ -15,6 +15,8 @@ from tidemark.sources.shared import cut_lineage, shared_dir  # noqa: F401  opera
 #: Cut points are searched in levels of this many; three levels hold up to FAN ** 3 blocks.
 FAN = 64
 MAX_BLOCKS = FAN**3
+#: The setting of a session that bounds Arrow batches, and the bound that operators over whole texts ask for.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,17 @@ def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after a bound on the bytes of an Arrow batch where its session sets none.
+
+    Spark's own bound is 64 MB. A batch of whole texts lies twice in the executor's memory outside the heap while it grows, and again, as texts, in
+    the Python worker of each task; results don't depend on it. A row larger than the bound is a batch by itself.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of ``df`` has it: for columns that live only inside an operator."""
     taken, out = {c.lower() for c in df.columns}, []

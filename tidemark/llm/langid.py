@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import give_back
+from tidemark.llm._common import give_back, small_batches
 
 #: Bounds of the labelled sample, parameters of ``learned``: rows of a language, characters of a row (a window at a hashed
 #: place), and languages; more languages are an error.
@@ -19,7 +19,7 @@ SHARES = 64
 #: Symbols parsed in one piece; pieces of all texts advance together, and phrases go on over their ends.
 PIECE = 512
 #: Symbols times languages that are parsed together.
-SLICE = 1 << 23
+SLICE = 1 << 22
 UNKNOWN, GAP = 0, 1
 UNDETERMINED = "und"
 #: A text is in no learned language if even the nearest needs over MAX_BITS for each symbol (a parameter), SPARE phrases not
@@ -319,7 +319,7 @@ def identify(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
             give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def text_slices(column: pa.Array, langs: int) -> Iterator[tuple[int, int, list[str | None]]]:
@@ -359,4 +359,4 @@ def keep_identified(docs: DataFrame, texts: dict[str, str], text_col: str = "tex
             yield b.filter(pa.array(keep, pa.bool_()))
             give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

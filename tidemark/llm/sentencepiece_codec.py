@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import freeing, give_back
+from tidemark.llm._common import freeing, give_back, small_batches
 
 #: The public model file; a parameter of everything below.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -22,7 +22,7 @@ WORDS, TOGETHER = 1_000_000, 1 << 15
 #: Bits of the slot of a remembered pair of pieces, and of the filter before the search among piece keys.
 PAIR_BITS, FILTER_BITS = 21, 20
 #: Characters of text that are encoded together.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 class Codec:
@@ -392,7 +392,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, id_col: str = "d
             del texts
             give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decode_ids(rows: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -411,4 +411,4 @@ def decode_ids(rows: DataFrame, model_path: str = MODEL_PATH, id_col: str = "doc
             texts = c.decode(np.array([i for x in lists for i in x], dtype=np.int64), counts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return small_batches(rows).select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
