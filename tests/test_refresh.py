@@ -202,3 +202,17 @@ def test_what_fails_only_when_it_runs_gives_a_message(spark, sf, tmp_path):
         f.write_bytes(b"no parquet file at all")
     told = engine.answer("топ клиентов: кто чаще", [{"table_name": "odd", "sheet_name": "F"}])
     assert "could not be answered" in told.answer and [r["summary"] for r in log.read().collect()] == [told.answer]
+
+
+def test_stored_types_the_grid_once(spark, sf):
+    """Every row of the grid passes the typing once, however many parts of the table are made from it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(n):
+        seen.add(1)
+        return n
+
+    rows = queries.grid(spark, sf)
+    no = F.udf(passed, "int").asNondeterministic()("row_idx")
+    found = ingest.stored(rows.withColumn("row_idx", no), sheets.Tickets(spark, queries.scratch(spark, "once")), rows)
+    assert found["tickets"] > 0 and seen.value == rows.count()

@@ -38,7 +38,12 @@ def parse_date(c: Column, lenient: bool = True) -> Column:
 
 def date_text(c: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` where the text is a date, else the text as it is."""
-    return F.coalesce(F.date_format(parse_date(c), "yyyy-MM-dd HH:mm:ss"), c)
+    return dated_text(parse_date(c), c)
+
+
+def dated_text(ts: Column, c: Column) -> Column:
+    """``date_text`` of a text whose ``parse_date`` is at hand."""
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), c)
 
 
 def between_days(ts: Column, date_from: str, date_to: str) -> Column:

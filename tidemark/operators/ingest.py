@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import date_text, parse_date
+from tidemark.functions.dates import dated_text, parse_date
 from tidemark.functions.similarity import ratio_udf
 from tidemark.functions.text import clean, ticket_number
 from tidemark.operators.aggregates import keep_first
+from tidemark.sources.shared import settled
 from tidemark.sources.sheets import Tickets
 
 # Header words and the columns they stand for.
@@ -104,15 +105,17 @@ def typed(rows: DataFrame) -> DataFrame:
     out = {name: text(name).alias(name) for name in ("status", "event_group", "event_type", "problem_raw", "assignee", "author", "comment")}
     out |= {name: clean(field(name)).alias(name) for name in ("client_raw", "address_raw")}
     out["ticket_id"] = F.when(F.col("mapping")["ticket_id"].isNotNull(), ticket_number(field("ticket_id"))).alias("ticket_id")
-    out["date"] = date_text(field("date")).alias("date")
-    return rows.select(*out.values(), *SHEET, parse_date(field("date")).alias("event_ts"), (F.shiftleft("sheet_no", 32) + F.col("row_idx")).alias("ingest_seq"))
+    out["date"] = field("date").alias("date")
+    found = rows.select(*out.values(), *SHEET, parse_date(field("date")).alias("event_ts"), (F.shiftleft("sheet_no", 32) + F.col("row_idx")).alias("ingest_seq"))
+    # Parsing costs most of a row; it is done once for both columns.
+    return found.withColumn("date", dated_text(F.col("event_ts"), F.col("date")))
 
 
 def stored(grid: DataFrame, table: Tickets, heads: DataFrame | None = None) -> dict[str, int]:
     """Write the tickets of all sheets, one of each id, to ``table``; the figures of ``statistics``, counted by the write itself.
 
     They are observed where rows pass on their way to the table, so nothing is read again for them; what the driver gets besides is the names of
-    the sheets. Lost executors: rows of a stage that runs again after it had finished count again (the table holds them once).
+    the sheets. Typed rows go to the shared folder first: rows with an id and rows without are then read from there, and the grid is typed once. Lost executors: rows of a stage that runs again after it had finished count again (the table holds them once).
     """
     maps = numbered_sheets(grid if heads is None else heads)
     errors = F.col("error").isNotNull() if "error" in grid.columns else F.lit(False)
@@ -122,7 +125,7 @@ def stored(grid: DataFrame, table: Tickets, heads: DataFrame | None = None) -> d
     sets = {"held_": below, "lost_": F.col("broken_"), "bare_": ~F.col("broken_") & F.col("header_row").isNull()}
     rows = rows.observe(read, F.count_if(below).alias("rows_below_headers"), F.count_if(below & ~not_blank()).alias("rows_skipped"), *[F.collect_set(F.when(c, sheet)).alias(n) for n, c in sets.items()])
     has_id = F.count_if(F.trim(F.coalesce("ticket_id", F.lit(""))) != "").alias("n")
-    all_ = typed(rows.filter(below & not_blank())).observe(named, has_id, F.count("*").alias("tickets"))
+    all_ = settled(typed(rows.filter(below & not_blank())).observe(named, has_id, F.count("*").alias("tickets")))
     table.write(keep_first(all_, "ticket_id", ["ingest_seq"]).observe(kept, has_id))
     seen, before = read.get, named.get
     names = {n: {tuple(x) for x in seen[n]} for n in sets}

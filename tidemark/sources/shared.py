@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -25,6 +26,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the shared folder in one job and read again, for rows that are used more than once and observed on their way."""
+    place = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, if it has fewer: a small file is one, however much work its rows make."""
     cores = df.sparkSession.sparkContext.defaultParallelism
