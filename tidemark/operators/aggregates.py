@@ -9,12 +9,12 @@ from tidemark.schema import DASH
 from tidemark.sources.shared import cut_lineage
 
 
-def mode_by(df: DataFrame, keys: list[str], value: str, seq: str = "ingest_seq", out: str = "mode") -> DataFrame:
-    """The most frequent value of each key, the first seen of equals.
+def mode_by(df: DataFrame, keys: list[str], value: str, seq: str = "ingest_seq", out: str = "mode", n: Column | None = None) -> DataFrame:
+    """The most frequent value of each key, the first seen of equals. ``n`` counts the rows of a group, where a row stands for more than one.
 
     Two small aggregates: the first is combined on the map side, so a hot key reaches the second as its distinct values.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_"), F.min(seq).alias("s_"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count("*") if n is None else n).alias("n_"), F.min(seq).alias("s_"))
     return counted.groupBy(*keys).agg(F.max_by(value, F.struct("n_", -F.col("s_"))).alias(out))
 
 
