@@ -1,6 +1,7 @@
 """Spreadsheets as grids of strings: a Spark data source over a folder of CSV sheets, and the stored ticket table.
 
-Layout: ``<folder>/<table>/<sheet>.csv``. One partition reads one sheet; a sheet that can't be read gives one row with an error.
+Layout: ``<folder>/<table>/<sheet>.csv``. One partition reads one file; a file that can't be read gives one row with an error.
+A large sheet that was written from here lies in parts: ``<sheet>.sheet`` lists them with their rows, and is renamed into place last.
 """
 
 from __future__ import annotations
@@ -8,7 +9,9 @@ from __future__ import annotations
 import csv
 import io
 import json
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
 import pyarrow as pa
@@ -26,8 +29,10 @@ SHEET = ["_table_name", "_sheet_name"]
 
 
 class SheetPart(InputPartition):
-    def __init__(self, table: str, sheet: str, path: str, removed: bool = False):
-        self.table, self.sheet, self.path, self.removed = table, sheet, path, removed
+    """A file whose first row is row ``first`` of its sheet; rows from ``start`` to there are blank."""
+
+    def __init__(self, table: str, sheet: str, path: str, removed: bool = False, start: int = 0, first: int = 0):
+        self.table, self.sheet, self.path, self.removed, self.start, self.first = table, sheet, path, removed, start, first
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -38,24 +43,50 @@ def list_sheets(folder: str, page: int = 1000) -> Iterator[list[dict]]:
     """Pages of {table, sheet, path, stamp}, in order; a folder that can't be listed ends the list. ``stamp`` is time and size."""
     try:
         store, root = filesystem(folder)
-        found = sorted((i.path, f"{i.mtime_ns}:{i.size}") for i in store.get_file_info(pafs.FileSelector(root, recursive=True)) if i.path.endswith(".csv"))
+        files = [i for i in store.get_file_info(pafs.FileSelector(root, recursive=True)) if i.path.endswith((".csv", ".sheet"))]
     except OSError:
         return
+    # Of a sheet that is there as a file and in parts, as it is while one replaces the other, the later one counts.
+    latest = {i.path.rsplit(".", 1)[0]: i for i in sorted(files, key=lambda i: i.mtime_ns)}
+    found = sorted((i.path, f"{i.mtime_ns}:{i.size}") for i in latest.values())
     for a in range(0, len(found), page):
-        yield [{"table": p.split("/")[-2], "sheet": p.split("/")[-1][:-4], "path": p, "stamp": stamp} for p, stamp in found[a : a + page]]
+        yield [{"table": p.split("/")[-2], "sheet": p.split("/")[-1].rsplit(".", 1)[0], "path": p, "stamp": stamp} for p, stamp in found[a : a + page]]
+
+
+def listed(store: pafs.FileSystem, path: str) -> dict:
+    """What ``<sheet>.sheet`` lists: parts as [name, first row, last row] in order, and the names of parts that it replaced. Nothing if there is no such file."""
+    try:
+        with store.open_input_stream(path) as f:
+            return json.loads(f.read())
+    except FileNotFoundError:
+        return {"parts": [], "before": []}
+
+
+def files_of(folder: str, table: str, sheet: str, path: str) -> list[SheetPart]:
+    """The file of a sheet, or its parts."""
+    if not path.endswith(".sheet"):
+        return [SheetPart(table, sheet, path)]
+    parts = listed(filesystem(folder)[0], path)["parts"]
+    starts = [0] + [last + 1 for _, _, last in parts]
+    return [SheetPart(table, sheet, f"{path.rsplit('/', 1)[0]}/{name}", False, start, first) for start, (name, first, _) in zip(starts, parts, strict=False)]
 
 
 def read_sheet(folder: str, part: SheetPart, rows: int | None = None) -> Iterator[tuple]:
-    """The first ``rows`` rows of a sheet, or all. An error ends it, with a row that tells it; so does that the sheet is gone."""
+    """What a file has of the first ``rows`` rows of its sheet, or all. An error ends it, with a row that tells it; so does that the sheet is gone."""
     if part.removed:
         yield (part.table, part.sheet, None, None, REMOVED)
     if not part.path or part.removed:
         return
+    end = part.first if rows is None else min(rows, part.first)
+    for i in range(part.start, end):
+        yield (part.table, part.sheet, i, [], None)
+    if rows is not None and rows <= part.first:
+        return
     try:
         store, _ = filesystem(folder)
         with store.open_input_stream(part.path) as f:
             text = io.TextIOWrapper(f, encoding="utf-8", newline="")
-            for i, row in enumerate(islice(csv.reader(text), rows)):
+            for i, row in enumerate(islice(csv.reader(text), None if rows is None else rows - part.first), part.first):
                 yield (part.table, part.sheet, i, row, None)
     except (OSError, UnicodeDecodeError, csv.Error) as e:
         yield (part.table, part.sheet, None, None, str(e)[:500])
@@ -74,7 +105,9 @@ class SheetReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         found = (s for page in list_sheets(self.folder) for s in page)
-        return [SheetPart(s["table"], s["sheet"], s["path"]) for s in found if self.chosen is None or (s["table"], s["sheet"]) in self.chosen] or [SheetPart("", "", "")]
+        taken = (s for s in found if self.chosen is None or (s["table"], s["sheet"]) in self.chosen)
+        parts = (p for s in taken for p in files_of(self.folder, s["table"], s["sheet"], s["path"]))
+        return [p for p in parts if self.rows is None or p.start < self.rows] or [SheetPart("", "", "")]
 
     def read(self, part: SheetPart) -> Iterator[tuple]:
         return read_sheet(self.folder, part, self.rows)
@@ -93,7 +126,7 @@ class SheetStream(DataSourceStreamReader):
         return {json.dumps([s["table"], s["sheet"], s["path"]], ensure_ascii=False): s["stamp"] for page in list_sheets(self.folder) for s in page}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        changed = [SheetPart(*json.loads(k)) for k, stamp in end.items() if start.get(k) != stamp]
+        changed = [p for k, stamp in end.items() if start.get(k) != stamp for p in files_of(self.folder, *json.loads(k))]
         gone = [SheetPart(*json.loads(k), removed=True) for k in start if k not in end]
         return changed + gone or [SheetPart("", "", "")]
 
@@ -130,48 +163,85 @@ def read_grid(spark: SparkSession, folder: str, chosen: list[dict] | None = None
 
 
 def write_sheets(grid: DataFrame, folder: str) -> int:
-    """A grid as sheets, each from one task, which streams its rows and renames the finished file; how many sheets there are.
+    """A grid as sheets; how many there are. Tasks stream ranges of rows of the sheets to files, so that a large sheet is the work of many.
 
-    Rows lie where row_idx puts them, with blank lines between; null cells are empty ones. Files of sheets that the grid lacks stay.
+    A sheet of one range becomes ``<sheet>.csv``, one of more is listed in ``<sheet>.sheet``; either is renamed into place when all files are
+    written. Rows lie where row_idx puts them, with blank lines between; null cells are empty ones. Files of sheets that the grid lacks stay.
     """
+    run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         store, root = filesystem(folder)
-        last, out, close, at, names = None, None, None, 0, []
+        last, out, at, done = None, None, 0, []
         for b in batches:
             for table, sheet, i, cells in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
                 if (table, sheet) != last:
                     if out:
-                        close()
-                    last, at = (table, sheet), 0
-                    names.append(sheet)
-                    store.create_dir(f"{root}/{table}", recursive=True)
-                    target = f"{root}/{table}/{sheet}"
-                    attempt = TaskContext.get().taskAttemptId()
-                    raw = store.open_output_stream(f"{target}.{attempt}.tmp")
-                    out = io.TextIOWrapper(raw, encoding="utf-8", newline="")
-                    writer = csv.writer(out)
-
-                    def close(out=out, target=target, attempt=attempt) -> None:
                         out.close()
-                        store.move(f"{target}.{attempt}.tmp", f"{target}.csv")
-
+                        done[-1].append(at - 1)
+                    last, at = (table, sheet), i
+                    name = f"{sheet}.parts/{run_id}-{TaskContext.get().taskAttemptId()}-{i}.part"
+                    done.append([table, sheet, name, i])
+                    store.create_dir(f"{root}/{table}/{sheet}.parts", recursive=True)
+                    out = io.TextIOWrapper(store.open_output_stream(f"{root}/{table}/{name}"), encoding="utf-8", newline="")
+                    writer = csv.writer(out)
                 out.write("\r\n" * (i - at))
                 writer.writerow(["" if c is None else c for c in cells or []])
                 at = i + 1
         if out:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["n"])
-
-    rows = grid.select(*SHEET, "row_idx", "cells").repartition(*SHEET).sortWithinPartitions(*SHEET, "row_idx")
-    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+            out.close()
+            done[-1].append(at - 1)
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+        names = [*SHEET, "name", "first", "last"]
+        yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], t) for c, t in enumerate(types)], names=names)
+
+    rows = grid.select(*SHEET, "row_idx", "cells").repartitionByRange(*SHEET, "row_idx").sortWithinPartitions(*SHEET, "row_idx")
+    # One row a file.
+    files = rows.mapInArrow(run, "_table_name string, _sheet_name string, name string, first int, last int").collect()
+    sheets: dict[tuple[str, str], list] = {}
+    for table, sheet, *part in sorted(map(tuple, files), key=lambda f: (f[0], f[1], f[3])):
+        sheets.setdefault((table, sheet), []).append(part)
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda item: put_sheet(folder, *item[0], item[1]), sheets.items()))
+    return len(sheets)
+
+
+def put_sheet(folder: str, table: str, sheet: str, parts: list[list]) -> None:
+    """Make ``parts`` the sheet. The parts that they replace stay until the next time, for readers that began before."""
+    store, root = filesystem(folder)
+    home = f"{root}/{table}"
+    old = listed(store, f"{home}/{sheet}.sheet")
+    if len(parts) == 1 and parts[0][1] == 0:
+        store.move(f"{home}/{parts[0][0]}", f"{home}/{sheet}.csv")
+        gone = [f"{sheet}.sheet"] if old["parts"] else []
+        gone += [name for name, _, _ in old["parts"]]
+    else:
+        own = f"{home}/{parts[0][0]}.tmp"
+        with store.open_output_stream(own) as f:
+            f.write(json.dumps({"parts": parts, "before": [name for name, _, _ in old["parts"]]}, ensure_ascii=False).encode())
+        store.move(own, f"{home}/{sheet}.sheet")
+        gone = [f"{sheet}.csv"]
+    drop(store, [f"{home}/{name}" for name in gone + old["before"]])
+
+
+def drop(store: pafs.FileSystem, paths: list[str]) -> bool:
+    """Delete those of the files that are there; whether any was."""
+    there = [i.path for i in store.get_file_info(paths) if i.type == pafs.FileType.File]
+    for path in there:
+        store.delete_file(path)
+    return bool(there)
 
 
 def remove_sheet(folder: str, table: str, sheet: str) -> None:
     store, root = filesystem(folder)
-    store.delete_file(f"{root}/{table}/{sheet}.csv")
+    home = f"{root}/{table}"
+    old = listed(store, f"{home}/{sheet}.sheet")
+    names = [name for name, _, _ in old["parts"]] + old["before"]
+    if not drop(store, [f"{home}/{sheet}.csv", f"{home}/{sheet}.sheet"]):
+        raise FileNotFoundError(f"{home}/{sheet}.csv")
+    drop(store, [f"{home}/{name}" for name in names])
 
 
 def catalogue_of(tables: DataFrame) -> DataFrame:
