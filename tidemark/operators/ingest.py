@@ -91,8 +91,8 @@ def tickets(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     the source can read these alone (``read_grid(..., rows=HEADER_ROWS)``): else they are filtered out of a second reading of the grid.
     """
     maps = numbered_sheets(grid if heads is None else heads)
-    # As many rows as sheets; Spark broadcasts it while it is small.
-    return typed(readable(grid).join(maps, SHEET).filter("row_idx > header_row").filter(not_blank()))
+    # As many rows as sheets. Without the hint Spark, which doesn't know its size beforehand, brings all rows of a sheet to one task.
+    return typed(readable(grid).join(F.broadcast(maps), SHEET).filter("row_idx > header_row").filter(not_blank()))
 
 
 def typed(rows: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def stored(grid: DataFrame, table: Tickets, heads: DataFrame | None = None) -> d
     """
     maps = numbered_sheets(grid if heads is None else heads)
     errors = F.col("error").isNotNull() if "error" in grid.columns else F.lit(False)
-    rows = grid.withColumn("broken_", errors).join(maps, SHEET, "left")
+    rows = grid.withColumn("broken_", errors).join(F.broadcast(maps), SHEET, "left")
     below = ~F.col("broken_") & F.coalesce(F.col("row_idx") > F.col("header_row"), F.lit(False))
     sheet, read, named, kept = F.struct(*SHEET), Observation(), Observation(), Observation()
     sets = {"held_": below, "lost_": F.col("broken_"), "bare_": ~F.col("broken_") & F.col("header_row").isNull()}
