@@ -643,7 +643,7 @@ def canonical_addresses(spark, sf_dir):
 
 @query()
 def reconcile_report(spark, sf_dir):
-    return reconcile.report_counts(reconcile.reconcile_with_report(messy(spark, sf_dir), QUALIFIERS, "DEFAULT")[1])
+    return reconcile.change_counts(messy(spark, sf_dir), QUALIFIERS, "DEFAULT")
 
 
 @query()
